@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import conversations, copies, history, leakage, packing, splitting
+from recallspark.llm import conversations, copies, history, leakage, packing, pii, splitting
 from recallspark.session import table
 
 
@@ -17,6 +17,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.found(table(spark, d, "records_v1"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "records_v1"), table(spark, d, "interaction_log"), table(spark, d, "name_lexicon"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    texts = pii.sources(table(spark, d, "records_v1"), table(spark, d, "interaction_log"))
+    return pii.redact(texts, pii.detect(texts, table(spark, d, "name_lexicon")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.found(table(spark, d, "records_v1_branch_memberships"), table(spark, d, "records_v1"))
 
@@ -42,4 +52,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_found, p7_found, p7_reply_links, p8_containers, p9_found, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_reply_links, p8_containers, p9_found, p10_found, p10_pieces)}
