@@ -110,7 +110,8 @@ def _mentions(text: str) -> list[tuple]:
             if free(*m.span()):
                 out.append((*m.span(), "number", False, "number", "", "", re.sub(r"\d", "9", m.group(0))))
     letters = [c for c in text if c.isalpha() and c.lower() != c.upper()]
-    uniform = not letters or len({c.isupper() for c in letters}) == 1
+    # A text without capitals, or mostly of capitals, shows no names by its case; there every two words are a mention.
+    uniform = not letters or not 0 < sum(map(str.isupper, letters)) <= 0.6 * len(letters)
     if not uniform or _HAN.search(text):
         at = 0
         while m := _NAME.search(text, at):
@@ -205,10 +206,13 @@ def _names(found: DataFrame, lexicon: DataFrame, rounds: int) -> DataFrame:
         each = seen.groupBy("pattern", "one", "two").agg(F.max(worth).alias("worth"))
         pattern = each.groupBy("pattern").agg(F.count("*").alias("all"), F.avg("worth").alias("score"))
         good = materialize(pattern.filter((F.col("all") >= SUPPORT) & (F.col("score") >= CONFIDENCE)).select("pattern", "score"), "pii-name-patterns")
-        taught = sided.join(good, "pattern").select("pattern", "one", "two").distinct()
-        # A part is learned from two different names, or from two patterns.
-        learn = taught.select("pattern", F.explode(F.array(F.struct(F.col("one").alias("part"), F.lit("given").alias("kind"), F.col("two").alias("mate")), F.struct(F.col("two").alias("part"), F.lit("family").alias("kind"), F.col("one").alias("mate")))).alias("x"))
-        learned = learn.filter(F.col("x.part") != "").groupBy("x.part", "x.kind").agg(F.count_distinct("x.mate").alias("mates"), F.count_distinct("pattern").alias("patterns")).filter((F.col("mates") >= 2) | (F.col("patterns") >= 2)).select("part", "kind")
+        # A part is learned from two different names, or from two patterns, if most contexts it was seen in are patterns.
+        taught = sided.join(good, "pattern", "left").select("pattern", "before", "after", "one", "two", F.col("score").isNotNull().alias("inside"))
+        learn = taught.select("pattern", "before", "after", "inside", F.explode(F.array(F.struct(F.col("one").alias("part"), F.lit("given").alias("kind"), F.col("two").alias("mate")), F.struct(F.col("two").alias("part"), F.lit("family").alias("kind"), F.col("one").alias("mate")))).alias("x"))
+        learn = learn.filter(F.col("x.part") != "").groupBy("x.part", "x.kind", "x.mate", "before", "after").agg(F.max("inside").alias("inside"), F.min(F.when(F.col("inside"), F.col("pattern"))).alias("pattern"))
+        within = F.col("inside")
+        learned = learn.groupBy("part", "kind").agg(F.count_distinct(F.when(within, F.col("mate"))).alias("mates"), F.count_distinct(F.when(within, F.col("pattern"))).alias("patterns"), F.avg(within.cast("double")).alias("share"))
+        learned = learned.filter(((F.col("mates") >= 2) | (F.col("patterns") >= 2)) & (F.col("share") >= CONFIDENCE)).select("part", "kind")
         known = materialize(parts.unionByName(learned).distinct(), "pii-name-parts")
     given, family = (known.filter(F.col("kind") == k).select(F.col("part").alias(c), F.lit(1).alias(k)) for k, c in (("given", "one"), ("family", "two")))
     sides = edges.join(given, "one", "left").join(family, "two", "left")
