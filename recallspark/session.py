@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,5 +73,17 @@ def release(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no later plan reads, and let the driver clean up the shuffle files
+    of plans that are over; both would otherwise stay on disk until the driver happens to collect its garbage."""
+    for table_ in tables:
+        files = table_.inputFiles()
+        if files:
+            release(table_.sparkSession, files[0].rsplit("/", 1)[0])
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def env_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
