@@ -68,12 +68,25 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|M|Mme|Mlle|Sr|Sra|Srta|Don|Doña|
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+)*"
 _BIG = r"[A-ZÀ-ÖØ-Þ'’]{2,}(?:-[A-ZÀ-ÖØ-Þ'’]{2,})*"
 _NAME = re.compile(
-    rf"(?<![\w@.+-])(?:(?P<title>{_TITLE}|{_TITLE.upper()})\b\.?\s{{1,2}})?(?:(?P<a>{_CAP}|{_BIG}),?\s{{1,2}}(?:[A-ZÀ-Þ]\.?\s{{1,2}})?)?(?P<b>{_CAP}|{_BIG})(?![\w@])"
+    rf"(?=[A-ZÀ-Þ])(?<![\w@.+-])(?:(?P<title>{_TITLE}|{_TITLE.upper()})\b\.?\s{{1,2}})?(?:(?P<a>{_CAP}|{_BIG}),?\s{{1,2}}(?:[A-ZÀ-Þ]\.?\s{{1,2}})?)?(?P<b>{_CAP}|{_BIG})(?![\w@])"
 )
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
 _HAN = re.compile(r"[一-鿿]")
 #: Weak forms: a number long enough for a phone or an identity, and a capital word beside a house number.
 _NUMBER = re.compile(r"(?<![A-Za-z0-9.,:+/-])[+(]?\d(?:[\d()/]|[\s.\-]{1,2}(?=[\d(])){5,18}\d(?![A-Za-z0-9:,/-]|\.\d)")
+#: Cheap tests that spare most texts the patterns above.
+_WIDE_CHAR = re.compile(r"[\uff01-\uff5e\u3000\xa0\u202f]")
+_DIGIT = re.compile(r"\d")
+_DIGIT_RUN = re.compile(r"\d[\d\s().+/-]{4,}\d")
+_CAPITAL, _SMALL = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[a-zß-öø-ÿ]")
+_AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]|\sdot\s")
+#: What a street address of the forms above must hold, in small letters.
+_STREET_WORDS = (
+    "street", "road", "lane", "avenue", "terrace", "close", "boulevard", "blvd", "drive", "court", "place", "square", "hill", "gardens", "crescent",
+    "straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer", "rue", "impasse", "allée", "chemin", "quai", "cours", "passage",
+    "calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "carretera", "ronda", "路", "街", "巷", "大道", "胡同", "弄",
+)
+_BESIDE = re.compile(r"(?i)\b(?:st|rd|ln|ct|bd|ave|av|way|row)\b")
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
 
 _FIELDS = "src string, row_id bigint, at int, until int, type string, strong boolean, form string, one string, two string, inst string, before string, after string"
@@ -85,33 +98,40 @@ def _contexts(text: str, a: int, b: int) -> tuple[str, str]:
     return " ".join(left).lower(), " ".join(right).lower()
 
 
+def _narrow(text: str) -> str:
+    """Full-width characters as their ASCII forms, one for one, so that places stay."""
+    return text if text.isascii() or not _WIDE_CHAR.search(text) else text.translate(_WIDE)
+
+
 def _mentions(text: str) -> list[tuple]:
     """(at, until, type, strong, form, one, two, inst) of the mentions in a text; places are those of the text given."""
-    text = text.translate(_WIDE)
+    text = _narrow(text)
     out: list[tuple] = []
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
         return all(b <= c or d <= a for c, d in taken)
 
-    has_digit = any(map(str.isdigit, text))
-    if "@" in text or re.search(r"(?i)[\[({<]\s*at\s*[\])}>]|\sdot\s", text):
+    low = text.lower()
+    if _AT.search(low):
         for m in _EMAIL.finditer(text):
             taken.append(m.span())
             out.append((*m.span(), "email", True, "email", "", "", re.sub(r"[^@]+", "w", m.group(0))))
-    if has_digit:
-        for kind, pattern in (("street_address", _ADDRESS), ("phone", _PHONE), ("id_number", _IDENTITY)):
+    if _DIGIT.search(text):
+        runs = _DIGIT_RUN.search(text) is not None
+        tried = ("street_address", _ADDRESS, any(w in low for w in _STREET_WORDS) or _BESIDE.search(low) is not None), ("phone", _PHONE, runs), ("id_number", _IDENTITY, runs)
+        for kind, pattern, _ in filter(lambda t: t[2], tried):
             for m in pattern.finditer(text):
                 if free(*m.span()):
                     taken.append(m.span())
                     shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", m.group(0))) if kind != "street_address" else "street"
                     out.append((*m.span(), kind, True, kind, "", "", shape))
-        for m in _NUMBER.finditer(text):
+        for m in _NUMBER.finditer(text) if runs else ():
             if free(*m.span()):
                 out.append((*m.span(), "number", False, "number", "", "", re.sub(r"\d", "9", m.group(0))))
-    letters = [c for c in text if c.isalpha() and c.lower() != c.upper()]
     # A text without capitals, or mostly of capitals, shows no names by its case; there every two words are a mention.
-    uniform = not letters or not 0 < sum(map(str.isupper, letters)) <= 0.6 * len(letters)
+    capitals = len(_CAPITAL.findall(text))
+    uniform = not capitals or (capitals * 4 > len(text) or len(text) < 80 or not text.isascii()) and capitals > 0.6 * (capitals + len(_SMALL.findall(text)))
     if not uniform or _HAN.search(text):
         at = 0
         while m := _NAME.search(text, at):
@@ -147,7 +167,7 @@ def mentions(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for src, row_id, text in zip(batch["src"], batch["row_id"], batch["text"]):
-                wide = text.translate(_WIDE)
+                wide = _narrow(text)
                 for at, until, kind, strong, form, one, two, inst in _mentions(text):
                     rows.append((src, row_id, at, until, kind, strong, form, one, two, inst, *_contexts(wide, at, until)))
             yield pd.DataFrame(rows, columns=columns)
