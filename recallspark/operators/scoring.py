@@ -34,11 +34,11 @@ def decay(days: Column, valence: Column, arousal: Column) -> Column:
     return F.pow(F.lit(0.5), days / half)
 
 
-def recall_weight(similarity: Column, valence: Column, arousal: Column, days: Column, in_saga: Column, done: Column) -> Column:
-    """0.35 similarity, 0.25 evenness, 0.20 decay, 0.20 saga, and 0.3 if undone; four decimals."""
+def recall_weight(similarity: Column, valence: Column, arousal: Column, days: Column, in_saga: Column, done: Column, digits: int = 4) -> Column:
+    """0.35 similarity, 0.25 evenness, 0.20 decay, 0.20 saga, and 0.3 if undone."""
     even = F.greatest(F.lit(0.0), 1 - F.abs(valence))
     value = 0.35 * F.coalesce(similarity, F.lit(0.5)) + 0.25 * even + 0.20 * decay(days, valence, arousal) + 0.20 * F.when(in_saga, 1.5).otherwise(1.0) + F.when(done, 0.0).otherwise(0.3)
-    return F.round(value, 4)
+    return F.round(value, digits)
 
 
 def active_weight(undone: Column, valence: Column, arousal: Column, recalls: Column) -> Column:
