@@ -308,7 +308,7 @@ def rescue_passes(question: str, policy: RescuePolicy) -> list[str]:
     out: list[str] = []
     for observed, intended in policy.mappings:
         places = [m.span() for m in re.finditer(re.escape(observed), question) if all(m.end() <= a or b <= m.start() for a, b in shielded)]
-        if not places or intended in question:
+        if not places or intended in question.replace(observed, ""):
             continue
         fixed = question
         for a, b in reversed(places):

@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Number of descendants of each branch from its Euler interval."""
     placed = hierarchy.forest(table(spark, d, "branch_path"), "conversation_id", "branch_id", "parent_branch_id")
-    return placed.select(F.col("tree").alias("conversation_id"), F.col("node").alias("branch_id"), "depth", "descendants")
+    return placed.select(F.col("tree").alias("conversation_id"), F.col("node").alias("branch_id"), "depth", F.coalesce("descendants", F.lit(-1).cast("bigint")).alias("descendants"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,3 +29,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p3_found, p3_intervals, p6_found)}
+
+
+_TREE = """n AS (SELECT DISTINCT 'branch_path' AS src, NULL::bigint AS row_, conversation_id AS tree, branch_id AS node, parent_branch_id AS parent FROM branch_path
+ UNION SELECT DISTINCT 'room_ferry_backup_v1', backup_id, m.conversationId, m.sourceMessageId, m.parentSourceMessageId FROM (SELECT backup_id, unnest(data.messages) AS m FROM room_ferry_backup_v1)),
+r AS (SELECT n.src, n.row_, n.tree, n.node, n.node AS root, 0 AS depth FROM n LEFT JOIN n p ON p.src = n.src AND p.row_ IS NOT DISTINCT FROM n.row_ AND p.tree = n.tree AND p.node = n.parent WHERE p.node IS NULL
+ UNION ALL SELECT n.src, n.row_, n.tree, n.node, r.root, r.depth + 1 FROM n JOIN r ON r.src = n.src AND r.row_ IS NOT DISTINCT FROM n.row_ AND r.tree = n.tree AND r.node = n.parent)"""
+
+_SQL = {
+    "p1_found": """WITH h AS (SELECT snapshot_id, unnest(json_extract(threads, '$[*]')) AS h FROM codex_rollout_v1 WHERE json_valid(threads)),
+t AS (SELECT snapshot_id, json_extract_string(h, '$.id') AS hid, unnest(json_extract(h, '$.turns[*]')) AS t FROM h),
+i AS (SELECT snapshot_id, json_extract_string(t, '$.id') AS tid, unnest(json_extract(t, '$.items[*]')) AS i FROM t),
+p AS (SELECT snapshot_id, json_extract_string(i, '$.id') AS iid, unnest(json_extract(i, '$.content[*]')) AS p, unnest(range(len(json_extract(i, '$.content[*]')))) AS k FROM i WHERE json_extract_string(i, '$.type') = 'userMessage'),
+c AS (SELECT backup_id, unnest(data.conversations) AS c FROM room_ferry_backup_v1), m AS (SELECT backup_id, unnest(data.messages) AS m FROM room_ferry_backup_v1),
+q AS (SELECT backup_id, m.id AS mid, unnest(m.contentParts) AS q, unnest(range(len(m.contentParts))) AS k FROM m)
+SELECT DISTINCT 'codex_rollout_v1' AS src, snapshot_id AS row_id, hid AS parent_id, 'turn' AS child_level, json_extract_string(t, '$.id') AS child_id, coalesce(json_extract_string(t, '$.status'), '') AS child_type FROM t
+UNION SELECT 'codex_rollout_v1', snapshot_id, tid, 'item', json_extract_string(i, '$.id'), coalesce(json_extract_string(i, '$.type'), '') FROM i
+UNION SELECT 'codex_rollout_v1', snapshot_id, iid, 'part', k::varchar, coalesce(json_extract_string(p, '$.type'), '') FROM p
+UNION SELECT 'codex_rollout_v1', snapshot_id, json_extract_string(i, '$.id'), 'output', '0', 'aggregatedOutput' FROM i WHERE json_extract_string(i, '$.aggregatedOutput') IS NOT NULL
+UNION SELECT 'room_ferry_backup_v1', backup_id, backup_id::varchar, 'conversation', c.id, coalesce(c.messageCount::varchar, '') FROM c
+UNION SELECT 'room_ferry_backup_v1', m.backup_id, m.m.conversationId, 'message', m.m.id, coalesce(m.m.role, '') FROM m JOIN c ON c.backup_id = m.backup_id AND c.c.id = m.m.conversationId
+UNION SELECT 'room_ferry_backup_v1', backup_id, mid, 'part', k::varchar, coalesce(q.type, '') FROM q""",
+    "p3_found": f"""WITH RECURSIVE {_TREE}, l AS (SELECT DISTINCT backup_id, c.id AS cid, c.currentLeafSourceMessageId AS leaf FROM (SELECT backup_id, unnest(data.conversations) AS c FROM room_ferry_backup_v1)),
+a AS (SELECT n.src, n.row_, n.tree, n.node FROM n WHERE src = 'branch_path' UNION SELECT n.src, n.row_, n.tree, n.node FROM n JOIN l ON n.row_ = l.backup_id AND n.tree = l.cid AND n.node = l.leaf)
+SELECT DISTINCT a.src, a.tree AS tree_id, a.node AS node_id, coalesce(r.root, '') AS root_id, coalesce(r.depth, -1)::int AS depth FROM a LEFT JOIN r ON r.src = a.src AND r.row_ IS NOT DISTINCT FROM a.row_ AND r.tree = a.tree AND r.node = a.node""",
+    "p3_intervals": f"""WITH RECURSIVE {_TREE}, u AS (SELECT tree, node, node AS anc FROM n WHERE src = 'branch_path' UNION ALL SELECT u.tree, u.node, n.parent FROM u JOIN n ON n.src = 'branch_path' AND n.tree = u.tree AND n.node = u.anc JOIN r ON r.src = 'branch_path' AND r.tree = u.tree AND r.node = u.anc WHERE n.parent IS NOT NULL AND r.depth > 0),
+d AS (SELECT tree, anc, count(*) - 1 AS n FROM u GROUP BY 1, 2)
+SELECT n.tree AS conversation_id, n.node AS branch_id, coalesce(r.depth, -1)::int AS depth, CASE WHEN r.depth IS NULL THEN -1 ELSE d.n END AS descendants FROM n LEFT JOIN r ON r.src = n.src AND r.tree = n.tree AND r.node = n.node LEFT JOIN d ON d.tree = n.tree AND d.anc = n.node WHERE n.src = 'branch_path'""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
