@@ -53,3 +53,23 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_reply_links, p8_containers, p9_found, p10_found, p10_pieces)}
+
+
+_SQL = {
+    "p7_found": r"""WITH m AS (SELECT DISTINCT record_rowid, branch_id, position FROM records_v1_branch_memberships),
+r AS (SELECT id, conversation_id, lower(trim(role)) AS role, coalesce(regexp_full_match(content, '[\s\x{3000}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}]*'), true) AS blank FROM records_v1),
+j AS (SELECT conversation_id, branch_id, position, record_rowid, CASE WHEN role IN ('user','assistant') AND NOT blank THEN role END AS turn FROM m JOIN r ON r.id = m.record_rowid),
+p AS (SELECT conversation_id, branch_id, count(*) AS n, count(position) AS placed, count(DISTINCT position) AS different, min(position) AS low, max(position) AS high, count(*) FILTER (WHERE turn = 'user') AS users FROM j GROUP BY 1, 2),
+s AS (SELECT conversation_id, branch_id, turn, lead(turn) OVER (PARTITION BY conversation_id, branch_id ORDER BY position, record_rowid) AS next FROM j WHERE turn IS NOT NULL),
+bad AS (SELECT DISTINCT conversation_id, branch_id FROM s WHERE turn = 'user' AND next IS DISTINCT FROM 'assistant')
+SELECT p.conversation_id, p.branch_id FROM p LEFT JOIN bad ON bad.conversation_id = p.conversation_id AND bad.branch_id = p.branch_id WHERE bad.branch_id IS NULL AND users > 0 AND (placed = 0 OR (placed = n AND different = n AND low = 0 AND high = n - 1))""",
+    "p9_found": r"""WITH i AS (SELECT item_id, CASE WHEN lang = 'zh' THEN 24 ELSE 60 END AS n, lower(regexp_replace(item_text, '[^\p{L}\p{N}]', '', 'g')) AS t FROM eval_items),
+g AS (SELECT DISTINCT item_id, n, substring(t, unnest(range(1, length(t) - n + 2)), n) AS gram FROM i),
+d AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS t FROM documents),
+w AS (SELECT doc_id, 60 AS n, substring(t, unnest(range(1, length(t) - 60 + 2)), 60) AS gram FROM d UNION ALL SELECT doc_id, 24, substring(t, unnest(range(1, length(t) - 24 + 2)), 24) FROM d)
+SELECT DISTINCT doc_id, item_id FROM w JOIN g ON g.n = w.n AND g.gram = w.gram""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
