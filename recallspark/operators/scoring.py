@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,15 +15,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
-    """(query, key, similarity, rank): exact top k of a bounded batch of queries against all vectors.
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, block: int = 16384) -> DataFrame:
+    """(query, key, similarity, rank): exact top k by cosine, rounded to six digits; ties go to the smaller key.
 
-    The batch is replicated; each task ranks its own share first (limit pushed into the window), so that only k rows per
-    query and task are shuffled.
+    Neither side is collected or broadcast: both are cut into blocks of about `block` rows, each pair of blocks is one
+    matrix product, and only k rows per query and block go on to the last ranking. Keys are bigints. Null vectors and
+    vectors of norm 0 match nothing; vectors of another length than the first of their block fail.
     """
-    pairs = vectors.select(F.col(key).alias("key"), F.col(vector).alias("_v")).crossJoin(F.broadcast(queries.select(F.col(query_key).alias("query"), F.col(query_vector).alias("_q"))))
-    scored = pairs.select("query", "key", F.round(cosine(F.col("_v"), F.col("_q")), 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key"))).filter(F.col("rank") <= k)
+    rows, asked = vectors.count(), queries.count()
+    if not rows or not asked:
+        return vectors.sparkSession.createDataFrame([], "query bigint, key bigint, similarity double, rank int")
+    v_blocks, q_blocks = -(-rows // block), -(-asked // block)
+    left = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(v_blocks)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    right = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("query"), F.col(query_vector).alias("v"), F.pmod(F.xxhash64(query_key), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"))
+
+    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        if not len(rows) or not len(asked):
+            return empty
+        rows = rows.sort_values("key")
+        v, q = (np.array(side["v"].tolist(), dtype=np.float64) for side in (rows, asked))
+        v_norm, q_norm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
+        keys, names, out = rows["key"].to_numpy(), asked["query"].to_numpy(), []
+        for at in range(0, len(q), 512):
+            part = slice(at, at + 512)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                similar = np.round(q[part] @ v.T / (q_norm[part, None] * v_norm[None, :]), 6)
+            similar[~np.isfinite(similar)] = -np.inf
+            for name, line in zip(names[part], similar):
+                least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                near = np.flatnonzero((line >= least) & (line > -np.inf))
+                near = near[np.lexsort((keys[near], -line[near]))][:k]
+                out.append(pd.DataFrame({"query": name, "key": keys[near], "similarity": line[near]}))
+        return pd.concat(out, ignore_index=True) if out else empty
+
+    each = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(best, "query bigint, key bigint, similarity double")
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key"))).filter(F.col("rank") <= k)
 
 
 def latest_vectors(vectors: DataFrame, key: str, order: str) -> DataFrame:

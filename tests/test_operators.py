@@ -96,3 +96,18 @@ def test_claims(spark):
     assert sorted((r.claim, r.seq, r.version, r.status) for r in v.collect()) == [("j", 1, 1, "active"), ("k", 1, 1, "superseded"), ("k", 3, 2, "active")]
     assert claims.chain_breaks(v, ["claim"]).count() == 0
     assert claims.chain_breaks(v.filter("not (claim = 'k' and version = 1)"), ["claim"]).count() == 1
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(90)] + [(90, [0.0] * 4), (91, None)]
+    df = spark.createDataFrame(rows, "vec long, e array<float>")
+    got = {}
+    for r in scoring.nearest(df, "vec", "e", df.filter("vec % 20 = 0"), "vec", "e", 5, block=17).collect():
+        got.setdefault(r.query, []).append((r.rank, r.key, r.similarity))
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 6)
+    good = [(i, e) for i, e in rows if e and any(e)]
+    for i, e in good:
+        if i % 20 == 0:
+            want = sorted(((-cos(e, f), j) for j, f in good))[:5]
+            assert [(k, j) for k, j, _ in sorted(got[i])] == [(n + 1, j) for n, (_, j) in enumerate(want)]
