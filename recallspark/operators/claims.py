@@ -76,3 +76,29 @@ def coverage(records: DataFrame, at: str, cutoff: str, verified: str, kind: str,
 def coverage_state(n: Column, cutoff: Column, as_of: Column) -> Column:
     """The coverage ladder, first match wins."""
     return F.when(n == 0, "no_visible_records").when(cutoff.isNull(), "verified_cutoff_unknown").when(as_of.isNull(), "not_assessed_without_as_of").when(as_of > cutoff, "outside_verified_cutoff").otherwise("within_verified_cutoff")
+
+
+def register_conflicts(members: DataFrame, decisions: DataFrame, key: str = "conflict_id") -> DataFrame:
+    """members (conflict, claim) that may be added: of conflicts with two or more different claims and no decision yet."""
+    real = members.groupBy(key).agg(F.count_distinct("claim_id").alias("_n")).filter("_n >= 2").select(key)
+    return members.distinct().join(real, key, "left_semi").join(decisions.select(key), key, "left_anti")
+
+
+def record_decisions(decisions: DataFrame, new: DataFrame, key: str = "conflict_id") -> DataFrame:
+    """decisions with new ones appended; an id is made of the conflict, the decision and its target, so that saying the same
+    again adds nothing."""
+    named = lambda df: df.withColumn("decision_id", canonical_id("dec-", F.col(key), F.col("decision"), F.coalesce("target", F.lit(""))))
+    old, fresh = named(decisions), named(new).dropDuplicates(["decision_id"])
+    return old.unionByName(fresh.join(old.select("decision_id"), "decision_id", "left_anti"), allowMissingColumns=True)
+
+
+def mask_conflicts(members: DataFrame, readable: DataFrame, key: str = "conflict_id") -> DataFrame:
+    """(conflict, n_members, readable): a conflict may be shown if all of its claims may be read."""
+    seen = readable.filter("readable").select("claim_id").distinct().withColumn("_seen", F.lit(True))
+    return members.distinct().join(seen, "claim_id", "left").groupBy(key).agg(F.count("*").alias("n_members"), F.bool_and(F.coalesce("_seen", F.lit(False))).alias("readable"))
+
+
+def annotate(records: DataFrame, record: str, evidence: DataFrame, versioned: DataFrame) -> DataFrame:
+    """(record, claim_id, version) of the active claims that each record is evidence of; records keep their order elsewhere."""
+    active = versioned.filter("status = 'active'").select("claim_id", "version")
+    return records.select(record).join(evidence.select(record, "claim_id"), record).join(active, "claim_id").select(record, "claim_id", "version")

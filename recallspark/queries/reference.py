@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as tx
-from recallspark.operators import claims, collections, context, lexical, scoring, visibility
+from recallspark.operators import claims, collections, context, events, lexical, regression, scoring, visibility
 from recallspark.session import table
+from recallspark.sources import captures, packages
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -517,3 +518,155 @@ def r_st01_st04_append_new_only(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source_kind FROM (SELECT DISTINCT source_kind FROM records_v1)")
 def r_s18_source_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).select("source_kind").distinct()
+
+
+# More operators ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT id, CASE WHEN regexp_matches(content, '(?i)(^|[^\\p{L}])(story|novel)([^\\p{L}]|$)') THEN 'creative' WHEN regexp_matches(content, '(?i)(^|[^\\p{L}])(never|not)([^\\p{L}]|$)') THEN 'negated' WHEN regexp_matches(content, '(?i)(^|[^\\p{L}])(will|tomorrow)([^\\p{L}]|$)') THEN 'future' END AS reason FROM records_v1 WHERE content IS NOT NULL""")
+def r_x13_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    rules = {name: rf"(?i)(^|[^\p{{L}}])({words})([^\p{{L}}]|$)" for name, words in (("creative", "story|novel"), ("negated", "never|not"), ("future", "will|tomorrow"))}
+    return _records(spark, d).filter(F.col("content").isNotNull()).select("id", events.exclusion(F.col("content"), rules).alias("reason"))
+
+
+@query("SELECT id, concat_ws(',', CASE WHEN contains(lower(content), 'together') THEN 'together' END, CASE WHEN contains(lower(content), 'both') THEN 'both' END, CASE WHEN contains(lower(content), '一起') THEN '一起' END) AS markers FROM records_v1 WHERE content IS NOT NULL")
+def r_x14_participation(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).filter(F.col("content").isNotNull()).select("id", events.participation(F.col("content"), ("together", "both", "一起")).alias("markers"))
+
+
+@query("SELECT id, coalesce(CASE WHEN lower(trim(role)) = 'user' THEN contains(content, 'my ') WHEN lower(trim(role)) = 'assistant' THEN contains(content, 'your ') END, false) AS directed FROM records_v1")
+def r_x15_directional(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("id", events.directed(F.col("role"), F.col("content"), "my ", "your ").alias("directed"))
+
+
+@query(f"""WITH {_M}, j AS (SELECT m.record_rowid, m.branch_id, m.position, coalesce(contains({_LC}, 'oven'), false) AS held FROM m JOIN records_v1 r ON r.id = m.record_rowid)
+SELECT record_rowid, branch_id, position, max(held::int) OVER (PARTITION BY branch_id ORDER BY position RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS near FROM j""")
+def r_x16_nearby(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "records_v1_branch_memberships").filter(F.col("position").isNotNull()).distinct()
+    rows = m.join(_records(spark, d).select(F.col("id").alias("record_rowid"), "content"), "record_rowid")
+    return events.nearby(rows, tx.like_contains(F.col("content"), "oven")).select("record_rowid", "branch_id", "position", "near")
+
+
+@query("SELECT doc_kind, node, doc_id FROM (SELECT doc_kind, doc_id, row_number() OVER (PARTITION BY doc_kind ORDER BY captured_at NULLS LAST, doc_id) AS node, row_number() OVER (PARTITION BY doc_kind ORDER BY captured_at DESC NULLS FIRST, doc_id DESC) AS back FROM documents) WHERE node <= 6 OR back <= 6")
+def r_m06_w05_timeline(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "doc_kind", "captured_at", F.lit("").alias("text"))
+    return events.timeline(docs, "doc_id", "doc_kind", "captured_at", "text").select("doc_kind", F.col("node").cast("bigint").alias("node"), "doc_id")
+
+
+@query("""WITH b AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'chat' ELSE 'agent' END AS ch, lower(trim(role)) AS r, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c, epoch_us(imported_at) AS t FROM records_v1 WHERE content IS NOT NULL),
+e AS (SELECT * FROM b WHERE ch IS NOT NULL AND length(c) >= 32 AND len(list_distinct(string_split(regexp_replace(lower(c), '[^\\p{L}\\p{N}]', '', 'g'), ''))) >= 12),
+g AS (SELECT r, c, t, count(DISTINCT id) AS n, count(DISTINCT ch) AS k FROM e GROUP BY 1, 2, 3)
+SELECT id AS key FROM e JOIN g USING (r, c, t) WHERE k = 2 AND n >= 2""")
+def r_g06_mirror_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Import times lie days apart or are equal, so that a cluster is one content of one time."""
+    rows = _records(spark, d).withColumn("ch", F.when(F.col("id") % 2 == 0, "chat").otherwise("agent"))
+    return collections.mirror_groups(rows, "id", "ch", "role", "content", "imported_at").select("key")
+
+
+@query("SELECT user_id, count(DISTINCT concat('agt-', event_id % 7)) AS n_grants FROM events WHERE event_type = 'click' GROUP BY 1")
+def r_g15_effective_grants(spark: SparkSession, d: str) -> DataFrame:
+    g = _events(spark, d).filter("event_kind = 'grant'")
+    return g.groupBy(F.col("record").alias("user_id")).agg(F.size(F.collect_set("target_agent")).cast("bigint").alias("n_grants"))
+
+
+@query("SELECT agent_id, least(0.95, 0.6 + CASE WHEN count(*) FILTER (WHERE contains(lower(user_msg), 'ledger')) >= 2 THEN 0.2 ELSE 0 END)::double AS confidence FROM interaction_log GROUP BY 1")
+def r_g16_mention_confidence(spark: SparkSession, d: str) -> DataFrame:
+    n = F.count_if(F.contains(F.lower("user_msg"), F.lit("ledger")))
+    return table(spark, d, "interaction_log").groupBy("agent_id").agg(F.least(F.lit(0.95), F.lit(0.6) + F.when(n >= 2, 0.2).otherwise(0.0)).alias("confidence"))
+
+
+@query("SELECT source_kind, count(*) AS n, count(*) FILTER (WHERE verified) AS n_verified, count(*) FILTER (WHERE content IS NULL) AS n_null FROM records_v1 GROUP BY 1")
+def r_g20_s10_preflight_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).groupBy("source_kind").agg(F.count("*").alias("n"), F.count_if("verified").alias("n_verified"), F.count_if(F.col("content").isNull()).alias("n_null"))
+
+
+@query("""WITH o AS (SELECT snapshot_id, segment_index, content_hash, row_number() OVER (PARTITION BY snapshot_id, segment_index ORDER BY message_index, content_hash) AS p FROM guijian_message WHERE content_hash IS NOT NULL),
+e AS (SELECT a.snapshot_id, a.content_hash AS l, b.content_hash AS r, count(*) AS support FROM o a JOIN o b ON a.snapshot_id = b.snapshot_id AND a.segment_index = b.segment_index AND b.p = a.p + 1 WHERE a.content_hash <> b.content_hash GROUP BY 1, 2, 3)
+SELECT e.snapshot_id, e.l AS "left", e.r AS "right", e.support FROM e LEFT JOIN e x ON x.snapshot_id = e.snapshot_id AND x.l = e.r AND x.r = e.l WHERE x.support IS NULL OR e.support * 2 >= x.support * 3""")
+def r_g19_capture_edges(spark: SparkSession, d: str) -> DataFrame:
+    return captures.edges(table(spark, d, "guijian_message"), "snapshot_id", "segment_index", "message_index", "content_hash")
+
+
+@query()
+def r_s08_u08_unique_order(spark: SparkSession, d: str) -> DataFrame:
+    return captures.unique_order(r_g19_capture_edges(spark, d), "snapshot_id")
+
+
+@query()
+def r_s08_w07_message_times(spark: SparkSession, d: str) -> DataFrame:
+    return captures.message_times(table(spark, d, "guijian_message"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'purchase'")
+def r_w01_latest_per_kind(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+
+@query("WITH v AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS version, event_id FROM events), k AS (SELECT * FROM v WHERE event_id % 5 <> 0) SELECT user_id, event_type, version FROM (SELECT *, coalesce(lag(version) OVER (PARTITION BY user_id, event_type ORDER BY version), 0) AS b FROM k) WHERE version <> b + 1")
+def r_j09_e12_chain_breaks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    kept = claims.versions(e, ["user_id", "event_type"], ["event_id"]).filter(F.col("event_id") % 5 != 0)
+    return claims.chain_breaks(kept, ["user_id", "event_type"]).select("user_id", "event_type", F.col("version").cast("bigint").alias("version"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS conflict_id, l_partkey AS claim_id FROM lineitem), r AS (SELECT p_partkey AS claim_id FROM part WHERE p_partkey % 10 <> 3), m AS (SELECT DISTINCT * FROM c WHERE conflict_id IN (SELECT conflict_id FROM c GROUP BY 1 HAVING count(DISTINCT claim_id) >= 2) AND conflict_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0))
+SELECT conflict_id, count(*) AS n_members, bool_and(claim_id IN (SELECT claim_id FROM r)) AS readable FROM m GROUP BY 1""")
+def r_k04_k06_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("conflict_id"), F.col("l_partkey").alias("claim_id"))
+    decided = table(spark, d, "orders").filter(F.col("o_orderkey") % 7 == 0).select(F.col("o_orderkey").alias("conflict_id"))
+    readable = table(spark, d, "part").select(F.col("p_partkey").alias("claim_id"), (F.col("p_partkey") % 10 != 3).alias("readable"))
+    return claims.mask_conflicts(claims.register_conflicts(members, decided), readable)
+
+
+@query("""WITH v AS (SELECT user_id AS claim_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AS active FROM events), e AS (SELECT id, id % 150 AS claim_id FROM records_v1) SELECT e.id, e.claim_id, v.version FROM e JOIN v ON v.claim_id = e.claim_id AND active""")
+def r_j05_m15_annotations(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("claim_id"), "event_id")
+    v = claims.versions(e, ["claim_id"], ["event_id"])
+    r = _records(spark, d).select("id")
+    return claims.annotate(r, "id", r.withColumn("claim_id", F.col("id") % 150), v).withColumn("version", F.col("version").cast("bigint"))
+
+
+@query("""WITH c AS (SELECT conversation_id AS case_id, list_distinct(list(record_id) FILTER (WHERE verified AND id % 2 = 0)) AS must, list_distinct(list(record_id) FILTER (WHERE id % 31 = 0)) AS mustnot FROM records_v1 GROUP BY 1), g AS (SELECT conversation_id AS case_id, list_distinct(list(record_id)) AS got FROM records_v1 WHERE id % 3 <> 0 OR verified GROUP BY 1),
+j AS (SELECT c.case_id, coalesce(must, []) AS a, coalesce(mustnot, []) AS n, coalesce(got, []) AS got FROM c LEFT JOIN g USING (case_id))
+SELECT case_id, CASE WHEN len(a) + len(n) = 0 THEN 'unscored' WHEN len(list_filter(a, lambda x: NOT list_contains(got, x))) = 0 AND len(list_filter(n, lambda x: list_contains(got, x))) = 0 THEN 'pass' ELSE 'fail' END AS outcome FROM j""")
+def r_m22_u07_replay(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d)
+    cases = r.groupBy(F.col("conversation_id").alias("case_id")).agg(F.collect_set(F.when(F.col("verified") & (F.col("id") % 2 == 0), F.col("record_id"))).alias("must_all"), F.collect_set(F.when(F.col("id") % 31 == 0, F.col("record_id"))).alias("must_not")).withColumn("must_any", F.array().cast("array<string>"))
+    got = r.filter((F.col("id") % 3 != 0) | F.col("verified")).select(F.col("conversation_id").alias("case_id"), "record_id")
+    return regression.replay(cases, got).select("case_id", "outcome")
+
+
+@query("SELECT family, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN contains(text, 'bad') THEN 'bad' END, CASE WHEN contains(text, 'late') THEN 'late' END, CASE WHEN contains(text, 'lost') THEN 'lost' END], lambda x: x IS NOT NULL)) AS family FROM documents) GROUP BY 1")
+def r_g11_n32_issue_families(spark: SparkSession, d: str) -> DataFrame:
+    return regression.families(table(spark, d, "documents"), "text", {"bad": "bad", "late": "late", "lost": "lost"})
+
+
+@query("SELECT id, translate(content, '我你', '你我') AS swapped FROM records_v1 WHERE contains(content, '我') OR contains(content, '你')")
+def r_n13_pronoun_swap(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("content")
+    return _records(spark, d).filter(F.contains(c, F.lit("我")) | F.contains(c, F.lit("你"))).select("id", F.translate(c, "我你", "你我").alias("swapped"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2023-12-31 16:00:00' AND ts < TIMESTAMP '2024-01-31 16:00:00'")
+def r_n19_calendar_scope(spark: SparkSession, d: str) -> DataFrame:
+    """'last month' asked in February 2024, as local days at UTC+8."""
+    from datetime import datetime, timezone
+
+    from recallspark.plans.planner import calendar_scope
+
+    scope = calendar_scope("what happened last month", datetime(2024, 2, 10, tzinfo=timezone.utc))
+    low, high = (F.lit(x.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for x in (scope.start, scope.end))
+    return table(spark, d, "events").filter((F.col("ts") >= low) & (F.col("ts") < high)).select("event_id")
+
+
+@query("SELECT snapshot_id, role, count(*) AS n FROM (SELECT snapshot_id, CASE json_extract_string(i, '$.type') WHEN 'userMessage' THEN 'user' ELSE 'assistant' END AS role FROM (SELECT snapshot_id, unnest(json_extract(t, '$.items[*]')) AS i FROM (SELECT snapshot_id, unnest(json_extract(h, '$.turns[*]')) AS t FROM (SELECT snapshot_id, unnest(json_extract(threads, '$[*]')) AS h FROM codex_rollout_v1 WHERE json_valid(threads)))) WHERE json_extract_string(i, '$.type') IN ('userMessage','agentMessage')) GROUP BY 1, 2")
+def r_s07_rollout_messages(spark: SparkSession, d: str) -> DataFrame:
+    return packages.rollout_messages(table(spark, d, "codex_rollout_v1")).groupBy("snapshot_id", "role").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT backup_id, m.conversationId AS cid, m.sourceMessageId AS mid, m.parentSourceMessageId AS parent FROM (SELECT backup_id, unnest(data.messages) AS m FROM room_ferry_backup_v1)),
+r AS (SELECT m.*, 0 AS depth FROM m LEFT JOIN m p ON p.backup_id = m.backup_id AND p.cid = m.cid AND p.mid = m.parent WHERE p.mid IS NULL UNION ALL SELECT m.*, r.depth + 1 FROM m JOIN r ON r.backup_id = m.backup_id AND r.cid = m.cid AND r.mid = m.parent),
+u AS (SELECT r.* FROM r JOIN (SELECT DISTINCT backup_id, c.id AS cid, c.currentLeafSourceMessageId AS leaf FROM (SELECT backup_id, unnest(data.conversations) AS c FROM room_ferry_backup_v1)) l ON l.backup_id = r.backup_id AND l.cid = r.cid AND l.leaf = r.mid UNION ALL SELECT r.* FROM r JOIN u ON u.backup_id = r.backup_id AND u.cid = r.cid AND u.parent = r.mid)
+SELECT DISTINCT backup_id, cid, mid, depth AS position FROM u""")
+def r_s05_w06_tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    return packages.tree_backup_messages(table(spark, d, "room_ferry_backup_v1")).filter(F.col("position").isNotNull()).select("backup_id", "cid", "mid", "position").distinct()
