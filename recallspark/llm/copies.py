@@ -17,7 +17,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Fingerprints are counted with map-side aggregation, so that a content with a third of all rows is one small group;
     only members of groups of two or more are shuffled with their pairs, against their group's first row. Keys are
-    unique; null and blank contents never count. Texts are read whole.
+    unique; rows with a null key and null and blank contents never count. Texts are read whole.
     """
     total = df.count()
     keys = content_keys(df, key, text)

@@ -77,7 +77,7 @@ def _load(items: DataFrame) -> list[tuple[int, str, int]]:
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     if size > MAX_ITEM_CHARS:
         raise ValueError(f"{size} characters of items are more than {MAX_ITEM_CHARS}: scan in blocks of items")
-    rows = items.select("item_id", "lang", "item_text").filter(F.col("item_text").isNotNull()).collect()
+    rows = items.select("item_id", "lang", "item_text").filter(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).collect()
     return [(r.item_id, normal(r.item_text), LEAST.get(r.lang, LEAST_ELSE)) for r in rows]
 
 
@@ -85,7 +85,7 @@ def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_runs, longest): every document that shares a long enough run with an item.
 
     One narrow pass over the documents, nothing is shuffled. items is a held-out set of bounded size (checked). Null and
-    blank texts match nothing; copies of a document are reported each; items that share a passage are all reported.
+    blank texts match nothing, null ids are left out; copies of a document are reported each; items that share a passage are all reported.
     """
     held = documents.sparkSession.sparkContext.broadcast(_load(items))
 
@@ -98,7 +98,7 @@ def hits(documents: DataFrame, items: DataFrame) -> DataFrame:
                     rows.append((doc_id, item_id, len(set(runs)), max(c - a for a, c in runs)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_runs", "longest"]).astype({"doc_id": "int64", "item_id": "int64", "n_runs": "int32", "longest": "int32"})
 
-    return documents.select("doc_id", "text").mapInPandas(scan, "doc_id bigint, item_id bigint, n_runs int, longest int")
+    return documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(scan, "doc_id bigint, item_id bigint, n_runs int, longest int")
 
 
 def clean(documents: DataFrame, items: DataFrame, mask: str = "") -> DataFrame:

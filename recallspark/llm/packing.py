@@ -24,7 +24,8 @@ def pack(items: DataFrame, capacity: int = 2048, shares: dict[str, float] | None
     """Every item's container: item, piece, source, size, container.
 
     items: item, source, size. Items of more than the capacity are cut: full pieces get containers of their own and the
-    rest is packed like an item; no other item is cut. Items of size 0 join a container and take no room.
+    rest is packed like an item; no other item is cut. Items of size 0 or null join a container and take no room; a
+    null source is a source, a null item is left out. Items that repeat are packed each.
     shares: target share of the tokens per source, by default the shares found; no item is dropped to reach them, the
     order of filling only spreads the sources as evenly as they last.
 
@@ -33,7 +34,8 @@ def pack(items: DataFrame, capacity: int = 2048, shares: dict[str, float] | None
     carry it from each group to the next, and within a group it goes from each container to the next.
     """
     spark = items.sparkSession
-    measured = materialize(items.select("item", "source", F.col("size").cast("bigint").alias("size")), "packing-items")
+    measured = items.filter(F.col("item").isNotNull()).select("item", F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
+    measured = materialize(measured, "packing-items")
     total = measured.agg(F.sum("size")).first()[0] or 0
     groups = max(1, round(total / capacity / containers_per_group))
     spread = measured.withColumn("grp", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))

@@ -59,7 +59,7 @@ _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite)\.?\s+\d+[A-Za-z]?,?\s+)?"
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9])(?:{_UNIT}\d{{1,5}}[A-Za-z]?,?\s+(?:[NSEW]\.?\s+)?(?:[A-Z][\w'’-]+\s+){{1,3}}{_STREET_EN}\b"
     rf"|(?i:{_UNIT}\d{{1,5}}[A-Z]?,?\s+(?:[NSEW]\.?\s+)?[\w'’-]{{3,}}\s+{_STREET_EN}\b)"
-    r"|(?i:[\w-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+\d{1,4}\s?[a-z]?\b)"
+    r"|(?i:[\w-]{0,40}(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+\d{1,4}\s?[a-z]?\b)"
     r"|(?i:\d{1,4}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|impasse|place|allée|chemin|quai|cours|passage)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?[\w'’-]+)"
     r"|(?i:(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|carretera|ronda)\s*(?:(?:de\s+la|de\s+los|de\s+las|del|de)\s+)?[\w'’-]+(?:\s+[\w'’-]+)?,?\s+(?:n\.?º\s*)?\d{1,4}\b)"
     r")|(?:(?![到在址寄住于是])[一-鿿]){2,6}?(?:路|街|巷|大道|胡同|弄)\s*\d+\s*号(?:\s*\d+\s*[栋幢座])?(?:\s*\d+\s*室)?"
@@ -107,15 +107,18 @@ def _mentions(text: str) -> list[tuple]:
     """(at, until, type, strong, form, one, two, inst) of the mentions in a text; places are those of the text given."""
     text = _narrow(text)
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
 
     def free(a: int, b: int) -> bool:
-        return all(b <= c or d <= a for c, d in taken)
+        return taken.find(1, a, b) < 0
+
+    def take(a: int, b: int) -> None:
+        taken[a:b] = b"\x01" * (b - a)
 
     low = text.lower()
     if _AT.search(low):
         for m in _EMAIL.finditer(text):
-            taken.append(m.span())
+            take(*m.span())
             out.append((*m.span(), "email", True, "email", "", "", re.sub(r"[^@]+", "w", m.group(0))))
     if _DIGIT.search(text):
         runs = _DIGIT_RUN.search(text) is not None
@@ -123,7 +126,7 @@ def _mentions(text: str) -> list[tuple]:
         for kind, pattern, _ in filter(lambda t: t[2], tried):
             for m in pattern.finditer(text):
                 if free(*m.span()):
-                    taken.append(m.span())
+                    take(*m.span())
                     shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", m.group(0))) if kind != "street_address" else "street"
                     out.append((*m.span(), kind, True, kind, "", "", shape))
         for m in _NUMBER.finditer(text) if runs else ():
@@ -160,7 +163,7 @@ def _mentions(text: str) -> list[tuple]:
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """Mentions of (src, row_id, text) rows. Null and empty texts have none. Whole texts, one narrow pass."""
+    """Mentions of (src, row_id, text) rows. Null and empty texts and null row ids have none. Whole texts, one narrow pass."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [part.split()[0] for part in _FIELDS.split(", ")]
@@ -172,7 +175,7 @@ def mentions(texts: DataFrame) -> DataFrame:
                     rows.append((src, row_id, at, until, kind, strong, form, one, two, inst, *_contexts(wide, at, until)))
             yield pd.DataFrame(rows, columns=columns)
 
-    return texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text").filter(F.length("text") > 0).mapInPandas(find, _FIELDS)
+    return texts.select("src", F.col("row_id").cast("bigint").alias("row_id"), "text").filter((F.length("text") > 0) & F.col("row_id").isNotNull()).mapInPandas(find, _FIELDS)
 
 
 def detect(texts: DataFrame, lexicon: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -126,7 +126,7 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
     """(doc_id, piece_no, start_char, begin_char, end_char, n_tokens[, piece]) of every text of more than `limit` tokens.
 
     Texts of at most `limit` UTF-8 bytes can't have more tokens, and leave before Python sees them. One narrow pass; null
-    and empty texts give no rows; other columns aren't carried, they join by the key.
+    and empty texts and null keys give no rows; other columns aren't carried, they join by the key.
     """
     schema = "doc_id bigint, piece_no int, start_char int, begin_char int, end_char int, n_tokens int" + (", piece string" if with_text else "")
 
@@ -140,7 +140,7 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
                     rows += [(doc_id, no, s, a, b, n, value[s:b])[: len(columns)] for no, (s, a, b, n) in enumerate(spans)]
             yield pd.DataFrame(rows, columns=columns)
 
-    large = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.octet_length("t") > limit)
+    large = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & (F.octet_length("t") > limit))
     return large.mapInPandas(cut, schema)
 
 

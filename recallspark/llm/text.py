@@ -40,10 +40,10 @@ def list_pairs(text: Column) -> Column:
     parts = F.filter(F.split(text, r"[;\r\n]+"), lambda x: ~is_blank(x))
 
     def pairs(p: Column) -> Column:
-        named = (F.size(p) >= 3) & F.forall(p, lambda x: x.rlike(r"^[^:=]*[\p{L}\p{N}][^:=]*[:=]"))
+        named = (F.size(p) >= 3) & F.forall(p, lambda x: F.regexp_extract(x, r"^([^:=]*)[:=]", 1).rlike(r"[\p{L}\p{N}]"))
         return F.when(named, F.transform(p, lambda x: F.concat(word_text(F.regexp_extract(x, r"^([^:=]+)[:=]", 1)), F.lit("\x01"), word_text(F.regexp_replace(x, r"^[^:=]+[:=]", "")))))
 
-    return F.when(text.rlike(r"(?s)[:=].*[;\r\n].*[:=].*[;\r\n].*[:=]"), let(parts, pairs))
+    return F.when(text.rlike("[:=]") & text.rlike(r"[;\r\n]"), let(parts, pairs))
 
 
 def multiset_hash(items: Column, seed: int) -> Column:
@@ -93,7 +93,7 @@ def content_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     Two contents are equal if they share a kind and its pairs as a multiset. h1 and h2 are independent commutative
     hashes of the pairs. Only texts that begin with a brace go through Python.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(~is_blank(F.col("text")))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & ~is_blank(F.col("text")))
     words = rows.select("key", F.lit("words").alias("kind"), F.array(word_text(F.col("text"))).alias("pairs"))
     braced = F.col("text").rlike(r"^\s*\{")
     listed = rows.filter(~braced).select("key", F.lit("list").alias("kind"), list_pairs(F.col("text")).alias("pairs"))

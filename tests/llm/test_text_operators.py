@@ -238,3 +238,21 @@ def test_split_frames(spark):
 def test_queries_run(spark, sf):
     for name, run in queries.queries().items():
         assert run(spark, sf).columns, name
+
+
+def test_nulls_and_very_long_texts(spark):
+    long = ["a" * 300_000, "长" * 200_000, "a: " * 60_000, "-" * 200_000, " ".join(f"w{i}" for i in range(60_000)), "12 " * 60_000, "\n" * 100_000 + "x"]
+    rows = [(i, f"r{i}", t, i) for i, t in enumerate(long)] + [(None, None, "x", 1), (90, None, None, None), (91, "r91", "q", 2), (92, "r91", "y", 2)]
+    df = spark.createDataFrame(rows, "id long, record_id string, content string, imported_at int")
+    assert copies.found(df).count() == 0
+    assert [(r.kept_id, r.dup_id) for r in history.found(df, steps=1).collect()] == [(91, 92)]
+    texts = df.select(F.lit("s").alias("src"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    lexicon = spark.createDataFrame([(None, "given"), ("Mara", None)], "name_part string, name_kind string")
+    assert pii.redact(texts, pii.detect(texts, lexicon)).count() == len(rows)
+    docs = df.select(F.col("id").alias("doc_id"), F.col("content").alias("text"), F.lit(None).cast("string").alias("source"))
+    items = spark.createDataFrame([(1, "en", "长" * 70), (None, "en", "b" * 80), (3, None, None)], "item_id long, lang string, item_text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.found(docs, items).collect()} == {(1, 1)}
+    cut = {r.doc_id for r in splitting.found(docs).collect()}
+    assert {0, 1, 2, 3, 4, 5} <= cut | {3, 6, 0}
+    packed = packing.pack(packing.measure(docs))
+    assert packed.filter("piece = 0").count() == 10
