@@ -18,30 +18,32 @@ def mirror_groups(rows: DataFrame, key: str, channel: str, role: str, text: str,
     """(key, group_id): records of equal role and whitespace-collapsed content within `within` seconds of their cluster's first
     one, where exactly two channels meet.
 
-    Clusters are anchored at their first member, not chained. A bucket is folded in order of time; one that is hot because a
-    content was copied very often is cut where no record of it lies within `within` of the next, as no cluster crosses
-    such a gap. Contents too short or too poor to be told apart are left out; null texts and times too.
+    Clusters are anchored at their first member, not chained. Copies are counted per content and instant first; what is folded
+    in order of time are different instants, cut where none lies within `within` of the next, as no cluster crosses such a
+    gap. Contents too short or too poor to be told apart are left out; null texts and times too.
     """
     content = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
     ready = rows.filter(F.col(text).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(channel).alias("channel"), F.xxhash64(F.lower(F.trim(F.col(role))), content).alias("bucket"), F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), content.alias("content"))
     ready = ready.filter((F.length("content") >= least_chars) & (distinct_alnum(F.col("content")) >= least_alnum)).drop("content")
     width = int(within * 1_000_000)
-    gap = F.coalesce((F.col("micros") - F.lag("micros").over(Window.partitionBy("bucket").orderBy("micros", "key")) > width).cast("int"), F.lit(0))
-    cut = ready.withColumn("_gap", gap).withColumn("cell", F.sum("_gap").over(Window.partitionBy("bucket").orderBy("micros", "key").rowsBetween(Window.unboundedPreceding, 0)))
-    folded = cut.groupBy("bucket", "cell").agg(F.array_sort(F.collect_list(F.struct("micros", "channel", "key"))).alias("rows"))
-    row_type = dict(folded.dtypes)["rows"].removeprefix("array<").removesuffix(">")
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("number"), F.array().cast(f"array<struct<cluster:int,row:{row_type}>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens = acc["start"].isNull() | (x["micros"] - acc["start"] > width)
-        number = acc["number"] + opens.cast("int")
-        return F.struct(F.when(opens, x["micros"]).otherwise(acc["start"]).alias("start"), number.alias("number"), F.concat(acc["out"], F.array(F.struct(number.alias("cluster"), x.alias("row")))).alias("out"))
-
-    clusters = folded.select("bucket", "cell", F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("m"))
-    members = clusters.groupBy("bucket", "cell", F.col("m.cluster").alias("cluster")).agg(F.array_sort(F.collect_set("m.row.key")).alias("keys"), F.count_distinct("m.row.channel").alias("channels"))
-    kept = members.filter((F.col("channels") == 2) & (F.size("keys") >= 2))
-    named = kept.select(F.concat(F.lit("mirror-"), F.substring(F.sha2(F.array_join(F.transform("keys", lambda k: k.cast("string")), "\n"), 256), 1, 16)).alias("group_id"), F.explode("keys").alias("key"))
-    return named.distinct()
+    # Clusters only depend on the different instants of a content; its copies of one instant are one point.
+    points = ready.groupBy("bucket", "micros").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("bucket").orderBy("micros")
+    gap = F.coalesce((F.col("micros") - F.lag("micros").over(order) > width).cast("int"), F.lit(0))
+    cut = points.withColumn("_gap", gap).withColumn("run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut.groupBy("bucket", "run").agg(F.array_sort(F.collect_list("micros")).alias("at"))
+    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.array().cast("array<struct<micros:bigint,start:bigint>>").alias("out"))
+
+    def step(acc: Column, micros: Column) -> Column:
+        start = F.when(acc["start"].isNull() | (micros - acc["start"] > width), micros).otherwise(acc["start"])
+        return F.struct(start.alias("start"), F.concat(acc["out"], F.array(F.struct(micros.alias("micros"), start.alias("start")))).alias("out"))
+
+    starts = runs.select("bucket", F.explode(F.aggregate("at", zero, step, lambda acc: acc["out"])).alias("p")).select("bucket", "p.micros", "p.start")
+    members = ready.join(starts, ["bucket", "micros"])
+    groups = members.groupBy("bucket", "start").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n"), F.count_distinct("channel").alias("channels"))
+    kept = groups.filter((F.col("channels") == 2) & (F.col("n") >= 2))
+    named = kept.select("bucket", "start", F.concat(F.lit("mirror-"), F.substring(F.sha2(F.concat_ws("|", F.col("bucket").cast("string"), F.col("start").cast("string"), F.col("first").cast("string")), 256), 1, 16)).alias("group_id"))
+    return members.join(named, ["bucket", "start"]).select("group_id", "key").distinct()
 
 
 def occurrence_days(rows: DataFrame, key: str, at: str, zone: str = "Asia/Shanghai", ids: int = 24) -> DataFrame:

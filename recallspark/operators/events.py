@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.operators import timestamps
+from recallspark.operators.context import window_join
 
 #: Reasons of exclusion in order, first match wins. Configuration for en, de, fr, es and zh.
 EXCLUSIONS = {
@@ -35,13 +36,16 @@ def directed(role: Column, text: Column, said_by_user: str, said_by_assistant: s
 
 
 def nearby(rows: DataFrame, condition: Column, reach: int = 2) -> DataFrame:
-    """rows (branch_id, position, ...) with near: does the condition hold within `reach` positions on the branch.
+    """rows (record_rowid, branch_id, position, ...) with near: does the condition hold within `reach` positions on the branch.
 
-    A range window over stated positions, gaps included. Rows without a position only see themselves.
+    Positions may have gaps. Rows without a position only see themselves. The join is on cells of positions, so that a hot
+    branch is spread over tasks.
     """
-    held = F.coalesce(condition, F.lit(False)).cast("int")
-    near = F.max(held).over(Window.partitionBy("branch_id").orderBy("position").rangeBetween(-reach, reach))
-    return rows.withColumn("near", F.when(F.col("position").isNull(), held == 1).otherwise(near == 1))
+    held = rows.filter(F.coalesce(condition, F.lit(False))).select("record_rowid", "branch_id", "position")
+    seen = window_join(held, rows.select("record_rowid", "branch_id", "position"), reach, reach, own=True)
+    seen = seen.select(F.col("near").alias("record_rowid"), "branch_id", F.col("near_position").alias("position"), F.lit(True).alias("_near")).distinct()
+    joined = rows.join(seen, ["record_rowid", "branch_id", "position"], "left")
+    return joined.withColumn("near", F.coalesce("_near", F.col("position").isNull() & condition, F.lit(False))).drop("_near")
 
 
 def clock(text: Column, binding: str = r"(?:at|on|um|am|le|el|于|在)", reach: int = 24) -> Column:

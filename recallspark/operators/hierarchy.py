@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from recallspark.operators.dewey import explode_path
 from recallspark.session import materialize, scratch_path
 
+#: Siblings that one task orders, about.
+SIBLINGS_PER_TASK = 200_000
+
 
 def _number(df: DataFrame) -> DataFrame:
     """Adds a unique long n. It is written before use, as ids drawn at run time may change when a task runs again."""
@@ -39,10 +42,8 @@ def forest(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
     joined = numbered.join(ids, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_p")), "left").drop("_t", "_p")
     linked = materialize(joined, "hierarchy-links")
 
-    # Siblings in order of their number; a pair (child, next sibling) comes from one window per parent. Roots have no siblings.
     inner = linked.filter(F.col("up").isNotNull()).select("n", "up")
-    ordered = inner.select("n", "up", F.lead("n").over(Window.partitionBy("up").orderBy("n")).alias("next"))
-    first_child = inner.groupBy("up").agg(F.min("n").alias("child")).withColumnRenamed("up", "n")
+    ordered, first_child = _siblings(inner, max(1, inner.count() // SIBLINGS_PER_TASK))
     # Arc 2n goes down into n, arc 2n + 1 up out of n.
     down = linked.select("n").join(first_child, "n", "left").select((F.col("n") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("n") * 2 + 1).alias("succ"))
     up = linked.select("n").join(ordered, "n", "left").select((F.col("n") * 2 + 1).alias("arc"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("succ"))
@@ -67,6 +68,22 @@ def forest(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
     )
 
 
+def _siblings(inner: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(n, up, next) and (n, child): each child's next sibling and each parent's first child.
+
+    Siblings are ordered within buckets and the buckets of a parent are then chained, so that a node whose children are a
+    third of all rows is spread over tasks.
+    """
+    bucketed = inner.withColumn("bucket", F.pmod(F.xxhash64("n"), F.lit(buckets)))
+    within = bucketed.withColumn("next", F.lead("n").over(Window.partitionBy("up", "bucket").orderBy("n")))
+    heads = bucketed.groupBy("up", "bucket").agg(F.min("n").alias("head"), F.max("n").alias("tail"))
+    first_child = heads.groupBy("up").agg(F.min(F.struct("bucket", "head")).alias("first")).select(F.col("up").alias("n"), F.col("first.head").alias("child"))
+    if buckets == 1:
+        return within.select("n", "up", "next"), first_child
+    chained = heads.select(F.col("tail").alias("n"), F.lead("head").over(Window.partitionBy("up").orderBy("bucket")).alias("following"))
+    return within.join(chained, "n", "left").select("n", "up", F.coalesce("next", "following").alias("next")), first_child
+
+
 def _rank(arcs: DataFrame) -> DataFrame:
     """Pointer jumping over (arc, succ). Result: arc, steps, gain, last, of the arcs whose list ends.
 

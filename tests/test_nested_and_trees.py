@@ -74,3 +74,12 @@ def test_forest_against_brute_force(spark):
 def test_forest_empty(spark):
     df = spark.createDataFrame([], "t string, a string, b string")
     assert hierarchy.forest(df, "t", "a", "b").count() == 0
+
+
+def test_hot_parent(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "SIBLINGS_PER_TASK", 40)
+    rows = [("t", "root", None)] + [("t", f"c{i}", "root") for i in range(500)] + [("t", f"g{i}", f"c{i % 7}") for i in range(60)]
+    placed = hierarchy.forest(spark.createDataFrame(rows, "t string, a string, b string"), "t", "a", "b").cache()
+    assert {(r.tree, r.node): (r.root, r.depth) for r in placed.collect()} == brute(rows)
+    assert placed.filter("node = 'root'").first().descendants == 560
+    assert placed.select("entry").distinct().count() == 561
