@@ -54,6 +54,17 @@ class Engine:
         sure = lexical.confidence(c, plan.literal, F.col("verified"), F.col("authority"), F.col("source_ref"))
         return ranked.select("rank", "id", "record_id", "tier", "score", sure.alias("confidence"), "content")
 
+    def recall_projected(self, question: str, evidence: DataFrame, versions: DataFrame, agent: str = "anchor", limit: int = 10) -> DataFrame:
+        """recall() with the active claims of each record, if the agent may read all of a claim's evidence; ranks stay.
+
+        evidence: record_id, claim_id; versions: claim_id, version, status.
+        """
+        hits = self.recall(question, agent, limit)
+        readable = claims.evidence_gate(evidence, "claim_id", "record_id", self.readable(agent), "record_id").filter("readable").select("claim_id")
+        noted = claims.annotate(hits, "record_id", evidence, versions.join(readable, "claim_id", "left_semi"))
+        each = noted.groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("claim_id", "version"))).alias("claims"))
+        return hits.join(each, "record_id", "left").select(*hits.columns, "claims")
+
     def context(self, hits: DataFrame, before: int = 1, after: int = 2) -> DataFrame:
         """The hits' neighbours on their branches, whatever the time scope."""
         placed = self.memberships.join(hits.select(F.col("id").alias("record_rowid")), "record_rowid")

@@ -90,3 +90,26 @@ def support_units(hits: DataFrame, groups: DataFrame, key: str, order: list[str]
     joined = hits.join(groups.withColumnRenamed("key", key), key, "left").withColumn("unit", unit)
     each = joined.groupBy("unit").agg(F.min(F.struct(*order, key)).alias("first"), F.count("*").alias("members"))
     return each.orderBy("first").limit(limit).select("unit", F.col(f"first.{key}").alias(key), "members")
+
+
+#: Words before a name, and before a list of names. Configuration for en, de, fr, es and zh.
+CALLED = r"(?:called|named|heißt|heisst|s'appelle|se llama|名叫)"
+LISTED = r"(?:names|namen|noms|nombres|名单)"
+
+
+def name_mentions(text: Column, called: str = CALLED, listed: str = LISTED) -> Column:
+    """array<struct<name, kind>> of the names in a text: quoted (2 to 16 characters), direct (after a word such as 'called')
+    and delimited (in a list after a word such as 'names:'). Null texts have none."""
+    tag = lambda names, kind: F.transform(names, lambda n: F.struct(F.trim(n).alias("name"), F.lit(kind).alias("kind")))
+    direct = F.regexp_extract_all(text, F.lit(rf"(?i){called}\s+(?-i:(\p{{Lu}}[\p{{L}}-]{{1,15}}))"), F.lit(1))
+    inside = F.regexp_extract(text, rf"(?i){listed}[:：]\s*([^.。;\n]{{2,200}})", 1)
+    delimited = F.filter(F.split(inside, r"[,，、]|\s(?:and|und|et|y)\s"), lambda n: F.length(F.trim(n)).between(2, 16))
+    found = F.concat(tag(extract_names(text), "quoted"), tag(direct, "direct"), tag(delimited, "delimited"))
+    return F.coalesce(F.array_distinct(found), F.array().cast("array<struct<name:string,kind:string>>"))
+
+
+def stands_near(text: Column, name: Column, marker: str, reach: int = 32) -> Column:
+    """Whether a marker stands within `reach` characters after or before a name."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit("\\E"))
+    pattern = F.concat(F.lit("(?is)"), quoted, F.lit(f".{{0,{reach}}}(?:{marker})|(?:{marker}).{{0,{reach}}}"), quoted)
+    return F.coalesce(F.regexp_like(text, pattern), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,15 @@ def families(notes: DataFrame, text: str, rules: dict[str, str]) -> DataFrame:
     """Number of notes per issue family; a note may belong to several."""
     hits = F.filter(F.array(*[F.when(F.col(text).rlike(rule), name) for name, rule in rules.items()]), lambda x: x.isNotNull())
     return notes.select(F.explode(hits).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
+
+
+#: A captured bad case as its file states it.
+PACKET = "schema_version string, captured_at string, note string, dialogue array<struct<role:string,content:string>>, recall struct<recall_debug:struct<top_k:array<string>>>"
+
+
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    """(packet_id, ...) of packet files, one JSON object each; equal packets count once, as the id is made of their content.
+    Damaged files give no rows."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", PACKET).alias("p"), "value").filter(F.try_parse_json("value").isNotNull())
+    named = whole.select(F.concat(F.lit("case-"), F.substring(F.sha2(F.to_json("p"), 256), 1, 24)).alias("packet_id"), "p.*")
+    return named.dropDuplicates(["packet_id"])

@@ -670,3 +670,9 @@ u AS (SELECT r.* FROM r JOIN (SELECT DISTINCT backup_id, c.id AS cid, c.currentL
 SELECT DISTINCT backup_id, cid, mid, depth AS position FROM u""")
 def r_s05_w06_tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return packages.tree_backup_messages(table(spark, d, "room_ferry_backup_v1")).filter(F.col("position").isNotNull()).select("backup_id", "cid", "mid", "position").distinct()
+
+
+@query("""SELECT id, name, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '"([^"]{2,16})"', 1)) AS name FROM records_v1) GROUP BY 1, 2""")
+def r_m11_quoted_names(spark: SparkSession, d: str) -> DataFrame:
+    found = _records(spark, d).select("id", F.explode(collections.extract_names(F.col("content"), r'"([^"]{2,16})"')).alias("name"))
+    return found.groupBy("id", "name").agg(F.count("*").alias("n"))

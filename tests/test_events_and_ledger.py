@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from recallspark.operators import claims, events, regression
+from recallspark.operators import claims, collections, events, regression
 from recallspark.sources import captures
 
 
@@ -47,3 +47,18 @@ def test_capture_order(spark):
     for r in captures.unique_order(captures.edges(df, "snap", "seg", "i", "h"), "snap").collect():
         got.setdefault(r.snap, {})[r.message] = r.place
     assert got["s"] == {"a": 0, "b": 1, "c": 2, "d": 3} and set(got["t"].values()) == {-1} and "u" not in got
+
+
+def test_name_mentions(spark):
+    df = spark.createDataFrame([('a boat called Tern and "Blue Heron"; names: Ann, Bob and Cid.',), (None,), ("",)], "t string")
+    got = [{(m.name, m.kind) for m in r.m} for r in df.select(collections.name_mentions(F.col("t")).alias("m")).collect()]
+    assert got == [{("Tern", "direct"), ("Blue Heron", "quoted"), ("Ann", "delimited"), ("Bob", "delimited"), ("Cid", "delimited")}, set(), set()]
+    near = df.select(collections.stands_near(F.col("t"), F.lit("Tern"), "boat").alias("a"), collections.stands_near(F.col("t"), F.lit("Tern"), "Cid").alias("b")).collect()
+    assert (near[0].a, near[0].b, near[1].a) == (True, False, False)
+
+
+def test_packets(spark, tmp_path):
+    for name, text in (("a", '{"note": "x", "recall": {"recall_debug": {"top_k": ["1"]}}}'), ("b", '{"note":"x","recall":{"recall_debug":{"top_k":["1"]}}}'), ("c", '{"note": "y"'), ("d", '{"note": "z"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert {r.note for r in regression.read_packets(spark, str(tmp_path)).collect()} == {"x", "z"}
+    assert regression.read_packets(spark, str(tmp_path)).count() == 2

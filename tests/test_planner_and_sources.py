@@ -140,6 +140,10 @@ def test_engine(spark):
     assert [r.id for r in closed.recall('"glass bridge"', "a", limit=1).collect()] == [3]
     assert {r.near for r in open_.context(open_.recall('"glass bridge"', limit=2)).collect()} == {1, 2, 4, 5}
     assert closed.coverage("a").first().n_records == 2
+    evidence = spark.createDataFrame([("r3", "k"), ("r3", "h"), ("r0", "h")], "record_id string, claim_id string")
+    versions = spark.createDataFrame([("k", 1, "superseded"), ("k", 2, "active"), ("h", 1, "active")], "claim_id string, version int, status string")
+    noted = {r.record_id: r.claims for r in closed.recall_projected('"glass bridge"', evidence, versions, "a").collect()}
+    assert [(c.claim_id, c.version) for c in noted["r3"]] == [("k", 2)] and noted["r6"] is None
     assert open_.adaptive_recall('"glass bridge"', limit=3) == ["r0", "r3", "r6"]
 
 
