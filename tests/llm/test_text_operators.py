@@ -155,6 +155,37 @@ def test_disentangle(spark):
     assert got[3] == 1 and got[4] == 2 and got[5] is None and got[1] is None and len(got) == 6
 
 
+def _links(rows):
+    """Plain Python: (key, at in s, channel, speaker, text) to key: (parent, score), over all messages before in the channel."""
+    words = lambda t: set(re.findall(r"[^\W_]+", (t or "").lower()))
+    out = {}
+    for key, at, channel, who, text in rows:
+        best = (0.0, -1, None)
+        for k, a, ch, w, t in rows:
+            if ch == channel and (a, k) < (at, key):
+                score = 0.5 ** ((at - a) / 120) + 0.5 * (w != who) + len(words(text) & words(t)) / max(1, len(words(text)))
+                score += f" @{' '.join(re.findall(r'[^\W_]+', w.lower()))} " in " " + re.sub(r"[^a-z0-9@]+", " ", (text or "").lower()) + " "
+                best = max(best, (score, a, k))
+        out[key] = (best[2] if best[0] >= 0.6 else None, round(best[0], 6))
+    return out
+
+
+def _disentangled(spark, rows, **options):
+    df = spark.createDataFrame(rows, "id long, s long, ch string, who string, text string").withColumn("at", F.timestamp_seconds("s"))
+    return {r.key: (r.parent, round(r.score, 6)) for r in conversations.disentangle(df, "id", "ch", "at", "who", "text", **options).collect()}
+
+
+def test_links_dont_depend_on_blocks(spark):
+    """Eight sparse messages a channel: a resent one finds its original however the channel is cut."""
+    rng = random.Random(3)
+    rows = [(c * 8 + i, 90_000 * i + rng.randrange(60_000), f"c{c}", rng.choice(["ann", "bob"]), " ".join(rng.sample("glass ledger tower lunch noon bridge".split(), 3))) for c in range(6) for i in range(8)]
+    rows += [(100, 0, "d", "ann", "the glass ledger"), (101, 400_000, "d", "ann", "lunch"), (102, 800_000, "d", "ann", "the glass ledger")]
+    want = _links(rows)
+    assert want[102] == (100, 1.0)
+    for block in (1, 60, 4096):
+        assert _disentangled(spark, rows, block=block) == want
+
+
 def test_packing(spark):
     rng = random.Random(1)
     items = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 5, 40, 300, 900, 2048, 5000])) for i in range(700)]
