@@ -186,6 +186,17 @@ def test_links_dont_depend_on_blocks(spark):
         assert _disentangled(spark, rows, block=block) == want
 
 
+def test_links_reach_the_whole_channel(spark):
+    """A mention, a resent message and other speakers far more than eight messages back, in any number of blocks."""
+    rng = random.Random(4)
+    rows = [(i, 45 * i, "hot" if i % 3 else "c", rng.choice(["ann", "bob", "cid"]), " ".join(rng.sample("glass ledger tower lunch noon bridge easel pier drawer willow".split(), rng.randrange(5)))) for i in range(200)]
+    rows += [(500, 1, "hot", "dora", "stale manifest"), (501, 20_000, "hot", "ann", "stale manifest"), (502, 20_001, "hot", "bob", "@dora please")]
+    want = _links(rows)
+    assert want[501][0] == 500 and want[502][0] == 500
+    for block in (7, 40, 8192):
+        assert _disentangled(spark, rows, block=block) == want
+
+
 def test_packing(spark):
     rng = random.Random(1)
     items = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 5, 40, 300, 900, 2048, 5000])) for i in range(700)]
