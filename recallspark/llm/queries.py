@@ -32,7 +32,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_reply_links(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.disentangle(table(spark, d, "interaction_log"), "id", "agent_id", "logged_at", "agent_id", "user_msg")
+    """Links of the log's two sides, a message of the user and the agent's reply to it; a null reply was never said."""
+    log, parts = table(spark, d, "interaction_log"), ("user_msg", "ai_reply")
+    said = [(F.lit("user"), F.lit(True)), (F.col("agent_id"), F.col("ai_reply").isNotNull())]
+    user, reply = (log.filter(kept).select((2 * F.col("id") + k).alias("key"), "agent_id", "logged_at", who.alias("who"), F.col(parts[k]).alias("text")) for k, (who, kept) in enumerate(said))
+    links = conversations.disentangle(user.unionByName(reply), "key", "agent_id", "logged_at", "who", "text")
+    named = [x for c, prefix in (("key", ""), ("parent", "parent_")) for x in (F.shiftright(c, 1).alias(f"{prefix}id"), F.when(F.pmod(c, F.lit(2)) == 0, parts[0]).when(F.col(c).isNotNull(), parts[1]).alias(f"{prefix}part"))]
+    return links.select(*named, "score")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -197,6 +197,19 @@ def test_links_reach_the_whole_channel(spark):
         assert _disentangled(spark, rows, block=block) == want
 
 
+def test_mentions_of_names_of_several_words(spark):
+    rows = [(1, 0, "c", "agt-00", "hello"), (2, 10_000, "c", "Ann_Lee B.", "good day"), (3, 20_000, "c", "user", "is @agt-00 here"), (4, 30_000, "c", "user", "(@ann-lee b) please"), (5, 40_000, "c", "user", "mail x@agt-00 and @agt-001")]
+    got = _disentangled(spark, rows)
+    assert got[3] == (1, 1.5) and got[4] == (2, 1.5) and got[5][1] < 1
+
+
+def test_reply_links_have_two_speakers(spark, tmp_path):
+    log = [(1, 0, "where is the ledger", "in the tower", "agt-00"), (2, 50_000, "@agt-00 thanks", None, "agt-00"), (3, 50_000, None, "lunch", "agt-01")]
+    spark.createDataFrame(log, "id long, s long, user_msg string, ai_reply string, agent_id string").withColumn("logged_at", F.timestamp_seconds("s")).write.parquet(f"{tmp_path}/interaction_log.parquet")
+    got = {(r.id, r.part): (r.parent_id, r.parent_part, r.score) for r in queries.p7_reply_links(spark, str(tmp_path)).collect()}
+    assert got == {(1, "user_msg"): (None, None, 0.0), (1, "ai_reply"): (1, "user_msg", 1.833333), (2, "user_msg"): (1, "ai_reply", 1.5), (3, "user_msg"): (None, None, 0.0), (3, "ai_reply"): (3, "user_msg", 1.5)}
+
+
 def test_packing(spark):
     rng = random.Random(1)
     items = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 5, 40, 300, 900, 2048, 5000])) for i in range(700)]
