@@ -219,6 +219,14 @@ def r_g03_x09_anchor_df(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(F.broadcast(probes), F.contains("low", "probe")).groupBy("item_id").agg(F.count("*").alias("df")).filter("df >= 2")
 
 
+@query("""SELECT item_id, count(doc_id) AS df FROM eval_items LEFT JOIN documents ON contains(lower(text), lower(item_text)) GROUP BY item_id HAVING count(doc_id) >= 2""")
+def r_g03_x09_passage_df(spark: SparkSession, d: str) -> DataFrame:
+    """Whole passages that at least two documents have; r_g03_x09_anchor_df looks for their first 40 characters only."""
+    passages = table(spark, d, "eval_items").select("item_id", F.lower("item_text").alias("passage"))
+    docs = table(spark, d, "documents").select(F.lower("text").alias("low"))
+    return docs.join(F.broadcast(passages), F.contains("low", "passage")).groupBy("item_id").agg(F.count("*").alias("df")).filter("df >= 2")
+
+
 _QUESTIONS = [("q1", "the glass bridge", [], ["bridge", "glass"]), ("q2", "", ["harbour", "ledger"], []), ("q3", "no such wording at all", [], ["lantern", "violin"]), ("q4", "die langen lieder", [], ["lieder", "anker"]), ("q5", "", ["zzz-none"], ["the"])]
 
 
