@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as tx
-from recallspark.operators import claims, collections, context, events, lexical, regression, scoring, visibility
+from recallspark.operators import claims, collections, context, events, lexical, regression, scoring, timestamps, visibility
 from recallspark.session import table
 from recallspark.sources import captures, packages
 
@@ -492,6 +492,27 @@ def r_m16_coverage_ladder(spark: SparkSession, d: str) -> DataFrame:
     return each.select(claims.coverage_state(F.col("n"), F.col("cutoff"), F.lit("2024-06-01").cast("date")).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
+def _cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    """records_v1 with the instants of source_cutoff_at (in any form) and imported_at in microseconds."""
+    known = table(spark, d, "source_profiles").groupBy("source_kind").agg(F.min("zone_name").alias("_zone"), F.min("date_order").alias("_order"))
+    cut = timestamps.utc_micros(F.col("source_cutoff_at"), F.col("_zone"), F.col("_order"))
+    return _records(spark, d).join(known, "source_kind", "left").withColumns({"cutoff_micros": cut, "at_micros": F.unix_micros(F.col("imported_at").cast("timestamp"))})
+
+
+@query()
+def r_g01_coverage_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage by instants; r_g01_coverage knows one written form only."""
+    return claims.coverage(_cutoffs(spark, d), "at_micros", "cutoff_micros", "verified", "source_kind")
+
+
+@query()
+def r_m16_coverage_ladder_instants(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder as of 2024-06-01 by instants; r_m16_coverage_ladder knows one written form only."""
+    as_of = F.unix_micros(F.lit("2024-06-01T00:00:00Z").cast("timestamp"))
+    each = _cutoffs(spark, d).groupBy("conversation_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("verified"), F.col("cutoff_micros"))).alias("cutoff"))
+    return each.select(claims.coverage_state(F.col("n"), F.col("cutoff"), as_of).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
 # The older path and streams' batch twins ------------------------------------------------------------------------------------
 
 

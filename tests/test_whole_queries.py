@@ -1,6 +1,6 @@
 """Queries that do the whole job where an older one, kept with its SQL, does a part of it."""
 
-from pyspark.sql import functions as F
+from datetime import datetime, timezone
 
 from recallspark.queries import reference
 
@@ -13,3 +13,18 @@ def test_passages_are_whole(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in reference.r_g03_x09_passage_df(spark, str(tmp_path)).collect()]
     assert got == [(1, 2)]
+
+
+def test_cutoffs_are_instants(spark, tmp_path):
+    kinds = [("a", "Europe/Berlin", "DMY"), ("recent_patch", "UTC", "MDY")]
+    rows = [
+        ("c1", "a", True, "2024-05-30T10:00:00Z"), ("c1", "a", True, "01.06.2024 01:30"), ("c2", "a", True, "20240601 120000"), ("c3", "a", True, "3/6/2024 08:00:00"),
+        ("c4", "a", True, "no date"), ("c5", "a", False, "2024-07-01T00:00:00Z"), ("c6", "recent_patch", True, "9/1/2024 00:00:00"),
+    ]
+    at = datetime(2025, 1, 1)
+    spark.createDataFrame(kinds, "source_kind string, zone_name string, date_order string").write.parquet(f"{tmp_path}/source_profiles.parquet")
+    spark.createDataFrame([(*r, at) for r in rows], "conversation_id string, source_kind string, verified boolean, source_cutoff_at string, imported_at timestamp_ntz").write.parquet(f"{tmp_path}/records_v1.parquet")
+    ladder = {r.state: r.n for r in reference.r_m16_coverage_ladder_instants(spark, str(tmp_path)).collect()}
+    assert ladder == {"outside_verified_cutoff": 1, "within_verified_cutoff": 3, "verified_cutoff_unknown": 2}
+    (one,) = reference.r_g01_coverage_instants(spark, str(tmp_path)).collect()
+    assert one.verified_cutoff == int(datetime(2024, 6, 3, 6, tzinfo=timezone.utc).timestamp()) * 1_000_000 and one.n_records == 7 and one.has_recent_patch
