@@ -63,7 +63,11 @@ def named_items(mentions: DataFrame, name: str, key: str, at: str, confirmed: st
 #: Timeline labels and their markers, in their fixed order. Configuration, several languages; replace for another archive.
 LABELS = {
     "retelling": r"(?i)\b(told me|as (i|we) said|wie gesagt|comme dit|como dije)\b|说过",
+    "historical_reference": r"(?i)\b(back then|last time|in the past|damals|letztes mal|à l'époque|la dernière fois|en aquel entonces|la última vez)\b|当时|上次|以前",
+    "quoted_or_original": r"(?i)\b(in (my|your|his|her|their|these|those) (own |exact )?words|verbatim|wörtlich|im wortlaut|mot pour mot|textuellement|textualmente|palabra por palabra)\b|原话|原文|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』",
     "correction": r"(?i)\b(not true|correction|falsch|faux|corrección)\b|更正|不是",
+    "explicit_detail_addition": r"(?i)\b(to add|one more detail|more precisely|also note|ergänzend|genauer gesagt|pour préciser|j'ajoute|para añadir|más precisamente)\b|补充|具体来说",
+    "summary": r"(?i)\b(in summary|to sum up|in short|summary|zusammenfassend|zusammenfassung|kurz gesagt|en résumé|pour résumer|en resumen|resumiendo)\b|总结|总之|概括",
     "plan": r"(?i)\b(will|plan to|wird|va à|va a)\b|打算|计划",
     "question": r"\?|？|^(?i)(warum|pourquoi|why|dime por qué|can you)\b|为什么",
     "reminder": r"(?i)\b(remember|remind|denk daran|rappelle|recuerda)\b|请记住",

@@ -15,6 +15,7 @@ EXCLUSIONS = {
     "future": r"(?i)\b(will|tomorrow|wird|morgen|demain|mañana)\b|明天|将要",
     "hypothetical": r"(?i)\b(if|would|falls|wenn|si|ojalá)\b|如果|假如",
     "invitation": r"(?i)\b(let's|shall we|wollen wir|on y va|vamos)\b|一起去吧|要不要",
+    "companion": r"(?i)\b(keep(ing)? (you|me) company|kept (you|me) company|leiste(te)? (dir|mir) gesellschaft|(te|me) tenir compagnie|(te|me) hago compañía)\b|(陪|陪着|看着)(你|我).{0,4}(吃|喝)",
 }
 PARTICIPATION = ("together", "we both", "with me", "zusammen", "ensemble", "juntos", "一起", "我们")
 

@@ -513,6 +513,18 @@ def r_m16_coverage_ladder_instants(spark: SparkSession, d: str) -> DataFrame:
     return each.select(claims.coverage_state(F.col("n"), F.col("cutoff"), as_of).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
+@query()
+def r_m07_all_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All default labels; r_m07_labels asks for question marks only. A null content is 'direct'."""
+    return _records(spark, d).select("id", collections.labels(F.coalesce("content", F.lit(""))).alias("label"))
+
+
+@query()
+def r_x13_all_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """All default reasons in all languages; r_x13_exclusion has three of them in English."""
+    return _records(spark, d).filter(F.col("content").isNotNull()).select("id", events.exclusion(F.col("content")).alias("reason"))
+
+
 # The older path and streams' batch twins ------------------------------------------------------------------------------------
 
 

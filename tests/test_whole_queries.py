@@ -28,3 +28,16 @@ def test_cutoffs_are_instants(spark, tmp_path):
     assert ladder == {"outside_verified_cutoff": 1, "within_verified_cutoff": 3, "verified_cutoff_unknown": 2}
     (one,) = reference.r_g01_coverage_instants(spark, str(tmp_path)).collect()
     assert one.verified_cutoff == int(datetime(2024, 6, 3, 6, tzinfo=timezone.utc).timestamp()) * 1_000_000 and one.n_records == 7 and one.has_recent_patch
+
+
+def test_all_labels_and_exclusions(spark, tmp_path):
+    rows = [
+        ("As we said, please remember it", "retelling,reminder", None), ("Damals war es so", "historical_reference", None), ("他说“好”", "quoted_or_original", None), ("C'est faux", "correction", None),
+        ("补充一点", "explicit_detail_addition", None), ("En résumé, tout va bien", "summary", None), ("Es wird regnen", "plan", "future"), ("warum nicht", "question", "negated"), ("plain", "direct", None),
+        ("un cuento nuevo", "direct", "creative"), ("Ojalá llueva", "direct", "hypothetical"), ("wollen wir los", "direct", "invitation"), ("我陪着你吃饭", "direct", "companion"), ("recuerda", "reminder", None), (None, "direct", None),
+    ]
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id long, content string").write.parquet(f"{tmp_path}/records_v1.parquet")
+    labels = {r.id: r.label for r in reference.r_m07_all_labels(spark, str(tmp_path)).collect()}
+    assert labels == {i: r[1] for i, r in enumerate(rows)}
+    reasons = {r.id: r.reason for r in reference.r_x13_all_exclusions(spark, str(tmp_path)).collect()}
+    assert reasons == {i: r[2] for i, r in enumerate(rows) if r[0] is not None}
