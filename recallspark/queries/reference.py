@@ -594,6 +594,25 @@ def r_m06_w05_timeline(spark: SparkSession, d: str) -> DataFrame:
     return events.timeline(docs, "doc_id", "doc_kind", "captured_at", "text").select("doc_kind", F.col("node").cast("bigint").alias("node"), "doc_id")
 
 
+@query()
+def r_m06_w05_text_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Timeline nodes by the texts' own clocks, corrections always kept; r_m06_w05_timeline reads no texts. Documents have no
+    conflict groups."""
+    keep = F.coalesce(F.col("text").rlike(collections.LABELS["correction"]), F.lit(False))
+    docs = table(spark, d, "documents").select("doc_id", "doc_kind", "captured_at", "text")
+    return events.timeline(docs, "doc_id", "doc_kind", "captured_at", "text", keep=keep).select("doc_kind", F.col("node").cast("bigint").alias("node"), "doc_id")
+
+
+@query()
+def r_m06_w05_record_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The same over records of each conversation, where members of a conflict group are kept too."""
+    known = table(spark, d, "source_profiles").groupBy("source_kind").agg(F.min("zone_name").alias("_zone"), F.min("date_order").alias("_order"))
+    at = F.timestamp_micros(timestamps.utc_micros(F.col("created_at"), F.col("_zone"), F.col("_order")))
+    keep = F.col("conflict_group_id").isNotNull() | F.coalesce(F.col("content").rlike(collections.LABELS["correction"]), F.lit(False))
+    rows = _records(spark, d).join(known, "source_kind", "left").withColumn("at", at)
+    return events.timeline(rows, "id", "conversation_id", "at", "content", keep=keep).select("conversation_id", F.col("node").cast("bigint").alias("node"), "id")
+
+
 @query("""WITH b AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'chat' ELSE 'agent' END AS ch, lower(trim(role)) AS r, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c, epoch_us(imported_at) AS t FROM records_v1 WHERE content IS NOT NULL),
 e AS (SELECT * FROM b WHERE ch IS NOT NULL AND length(c) >= 32 AND len(list_distinct(string_split(regexp_replace(lower(c), '[^\\p{L}\\p{N}]', '', 'g'), ''))) >= 12),
 g AS (SELECT r, c, t, count(DISTINCT id) AS n, count(DISTINCT ch) AS k FROM e GROUP BY 1, 2, 3)

@@ -41,3 +41,17 @@ def test_all_labels_and_exclusions(spark, tmp_path):
     assert labels == {i: r[1] for i, r in enumerate(rows)}
     reasons = {r.id: r.reason for r in reference.r_x13_all_exclusions(spark, str(tmp_path)).collect()}
     assert reasons == {i: r[2] for i, r in enumerate(rows) if r[0] is not None}
+
+
+def test_timelines_read_texts_and_keep_corrections(spark, tmp_path):
+    texts = {0: "It was set down at 2024-03-01T00:00:00Z.", 10: "That is not true."}
+    docs = [(i, "k", datetime(2024, 1, 1 + i), texts.get(i, "x")) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, doc_kind string, captured_at timestamp_ntz, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = [*range(1, 20), 0]
+    got = {r.doc_id: r.node for r in reference.r_m06_w05_text_timeline(spark, str(tmp_path)).collect()}
+    assert got == {k: n for n, k in enumerate(order, 1) if n <= 6 or n > 14 or k == 10}
+    spark.createDataFrame([("a", "UTC", "DMY")], "source_kind string, zone_name string, date_order string").write.parquet(f"{tmp_path}/source_profiles.parquet")
+    records = [(k, "c", "a", f"2024-01-{1 + k:02d}T00:00:00Z", texts.get(k, "x"), "g" if k == 12 else None) for k in range(20)]
+    spark.createDataFrame(records, "id long, conversation_id string, source_kind string, created_at string, content string, conflict_group_id string").write.parquet(f"{tmp_path}/records_v1.parquet")
+    got = {r.id: r.node for r in reference.r_m06_w05_record_timeline(spark, str(tmp_path)).collect()}
+    assert got == {k: n for n, k in enumerate(order, 1) if n <= 6 or n > 14 or k in (10, 12)}
