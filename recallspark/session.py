@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A temporary one is set only where none is set."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one is set only where none is set and the master is
+    local; on a cluster, where each executor would write to its own disk, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="recallspark-")
             spark.sparkContext.setCheckpointDir(current)
         found = current
@@ -73,14 +77,21 @@ def release(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+#: Least seconds between two collections of the driver's garbage, and when the last one was.
+GC_EVERY, _COLLECTED = 5.0, 0.0
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and that no later plan reads, and let the driver clean up the shuffle files
-    of plans that are over; both would otherwise stay on disk until the driver happens to collect its garbage."""
+    of plans that are over; both would otherwise stay on disk until the driver happens to collect its garbage. The driver
+    collects at most once in GC_EVERY seconds, so that many small steps don't stall on it."""
+    global _COLLECTED
     for table_ in tables:
         files = table_.inputFiles()
         if files:
             release(table_.sparkSession, files[0].rsplit("/", 1)[0])
-    if tables:
+    if tables and time.monotonic() - _COLLECTED >= GC_EVERY:
+        _COLLECTED = time.monotonic()
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
