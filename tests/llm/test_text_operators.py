@@ -255,6 +255,9 @@ def test_leaks_against_brute_force(spark):
     ddf = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
     idf = spark.createDataFrame(items, "item_id long, lang string, item_text string")
     assert {(r.doc_id, r.item_id) for r in leakage.found(ddf, idf).collect()} == want and len(want) > 10
+    # Beyond the block size the items are scanned block by block, with the same result.
+    assert {(r.doc_id, r.item_id) for r in leakage.hits(ddf, idf, block_chars=100).collect()} == want
+    assert leakage.clean(ddf, idf, "[CUT]", block_chars=100).collect() == leakage.clean(ddf, idf, "[CUT]").collect()
     cleaned = leakage.clean(ddf, idf, "[CUT]")
     assert leakage.found(cleaned, idf).count() == 0
     assert cleaned.filter("doc_id = 100").first().text is None
