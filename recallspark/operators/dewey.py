@@ -1,8 +1,8 @@
 """Deeply nested records to related flat tables by Dewey labels.
 
 Every array element gets an ordinal path label such as '0.3.2' (third thread part ... counted from 0 at each level). A
-child's parent label is its own label without the last ordinal, so that no surrogate keys, windows or joins are needed:
-one narrow scan per table. Nodes are grouped by schema path; each path of array-of-struct fields is one table.
+child's parent label is its own label without the last ordinal, so that no surrogate keys or windows are needed; link()
+finds the parent node by it. Nodes are grouped by schema path; each path of array-of-struct fields is one table.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallspark.session import materialize
+
 
 def parent_label(label: Column) -> Column:
     """The label without its last ordinal; '' for a node of the top level."""
@@ -114,38 +116,63 @@ def _flat_fields(kind: T.StructType, at: Column, prefix: str = "") -> list[tuple
     return found
 
 
+def link(children: DataFrame, parents: DataFrame, row_key: str, field: str = "id") -> DataFrame:
+    """children with parent_id, the field of the node that the truncated label names in the same row.
+
+    The labels of a row are unique, so that each child meets one parent; children whose parent isn't in parents are left
+    out, and a null row key meets nothing. A parent with very many children is a hot key of the left side alone, which
+    adaptive execution splits.
+    """
+    named = parents.select(row_key, F.col("label").alias("parent_label"), F.col(field).alias("parent_id"))
+    return children.join(named, [row_key, "parent_label"])
+
+
+def _documents(df: DataFrame, key: str, value: Column, name: str, label: str) -> DataFrame:
+    """(doc, value), written once, so that a long text is parsed once for all tables. doc holds a number of the row beside
+    its key, as keys may be null or repeat; numbers drawn at run time must be written before use."""
+    return materialize(df.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key")).alias("doc"), value.alias(name)), label)
+
+
 #: What is read of a rollout snapshot. content stays raw text at first, as its form depends on the item's type.
 ROLLOUT = "array<struct<id:string,turns:array<struct<id:string,status:string,items:array<struct<id:string,type:string,aggregatedOutput:string,content:string>>>>>>"
 PARTS = "array<struct<type:string,text:string,path:string>>"
 
 
 def rollout_tables(snapshots: DataFrame) -> dict[str, DataFrame]:
-    """turn, item, part and output tables of rollout snapshots, each row with its parent's id and Dewey label."""
-    parsed = snapshots.select("snapshot_id", F.from_json(valid_json(F.col("threads")), ROLLOUT).alias("threads"))
-    turns = explode_path(parsed, "snapshot_id", "threads", ["", "turns"], {"0": {"thread_id": "id"}})
-    items = explode_path(parsed, "snapshot_id", "threads", ["", "turns", "items"], {"1": {"turn_id": "id"}})
-    asked = items.filter(F.col("node.type") == "userMessage").withColumn("parts", F.from_json(F.col("node.content"), PARTS))
-    parts = asked.select("snapshot_id", "label", F.col("node.id").alias("item_id"), F.posexplode("parts").alias("pos", "part"))
-    return {
-        "turn": turns.select("snapshot_id", "label", "parent_label", F.col("thread_id").alias("parent_id"), F.col("node.id").alias("id"), F.coalesce("node.status", F.lit("")).alias("type")),
-        "item": items.select("snapshot_id", "label", "parent_label", F.col("turn_id").alias("parent_id"), F.col("node.id").alias("id"), F.coalesce("node.type", F.lit("")).alias("type")),
-        "part": parts.select("snapshot_id", F.concat_ws(".", "label", "pos").alias("label"), F.col("label").alias("parent_label"), F.col("item_id").alias("parent_id"), F.col("pos").cast("string").alias("id"), F.coalesce("part.type", F.lit("")).alias("type")),
-        "output": items.filter(F.col("node.aggregatedOutput").isNotNull()).select("snapshot_id", F.concat(F.col("label"), F.lit(".0")).alias("label"), F.col("label").alias("parent_label"), F.col("node.id").alias("parent_id"), F.lit("0").alias("id"), F.lit("aggregatedOutput").alias("type")),
-    }
+    """turn, item, part and output tables of rollout snapshots: snapshot_id, label, parent_label, parent_id, id, type.
+
+    The nodes are shredded by schema path; each parent is the node of the truncated label."""
+    parsed = _documents(snapshots, "snapshot_id", F.from_json(valid_json(F.col("threads")), ROLLOUT), "threads", "dewey-rollout")
+    nodes = shred(parsed, "doc", "threads")
+    threads, turns, items = nodes["$"], nodes["$.turns"], nodes["$.turns.items"]
+    asked = items.filter(F.col("type") == "userMessage").select("doc", "label", F.posexplode(F.from_json("content", PARTS)).alias("pos", "part"))
+    below = lambda label, pos: [label.alias("label"), parent_label(label).alias("parent_label"), pos.alias("id")]
+    parts = asked.select("doc", *below(F.concat_ws(".", "label", "pos"), F.col("pos").cast("string")), F.col("part.type").alias("type"))
+    outputs = items.filter(F.col("aggregatedOutput").isNotNull()).select("doc", *below(F.concat(F.col("label"), F.lit(".0")), F.lit("0")), F.lit("aggregatedOutput").alias("type"))
+    linked = {"turn": (turns.withColumn("type", F.col("status")), threads), "item": (items, turns), "part": (parts, items), "output": (outputs, items)}
+    return {level: _named(link(children, parents, "doc"), "snapshot_id") for level, (children, parents) in linked.items()}
+
+
+def _named(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col("doc.key").alias(key), "label", "parent_label", "parent_id", "id", F.coalesce(F.col("type"), F.lit("")).alias("type"))
 
 
 def backup_tables(backups: DataFrame) -> dict[str, DataFrame]:
-    """conversation, message and part tables of tree backups. Messages name their conversation by id, not by nesting;
-    those of no conversation in the same backup have no parent here and are left out."""
-    conversations = explode_path(backups, "backup_id", "data", ["conversations"])
-    messages = explode_path(backups, "backup_id", "data", ["messages"])
-    parts = explode_path(backups, "backup_id", "data", ["messages", "contentParts"], {"0": {"message_id": "id"}})
-    listed = conversations.select("backup_id", F.col("node.id").alias("_cid")).distinct()
-    owned = messages.withColumn("_cid", F.col("node.conversationId")).join(listed, ["backup_id", "_cid"], "left_semi")
+    """conversation, message and part tables of tree backups, as rollout_tables gives them. A conversation's parent is its
+    backup. Messages name their conversation by id, not by nesting; those of no conversation in the same backup have no
+    parent here and are left out."""
+    fields = lambda name, *kept: F.transform(F.col(f"data.{name}"), lambda x: F.when(x.isNotNull(), F.struct(*kept_of(x, kept))))
+    kept_of = lambda x, kept: [x[k] if k != "contentParts" else F.transform(x[k], lambda p: F.when(p.isNotNull(), F.struct(p["type"].alias("type")))).alias(k) for k in kept]
+    narrow = F.struct(fields("conversations", "id", "messageCount").alias("conversations"), fields("messages", "id", "conversationId", "role", "contentParts").alias("messages"))
+    nodes = shred(_documents(backups, "backup_id", narrow, "data", "dewey-backup"), "doc", "data")
+    conversations, messages, parts = nodes["conversations"], nodes["messages"], nodes["messages.contentParts"]
+    listed = conversations.select("doc", F.col("id").alias("conversationId")).distinct()
+    owned = messages.join(listed, ["doc", "conversationId"], "left_semi")
+    placed = parts.withColumn("id", F.element_at(F.split("label", r"\."), -1))
     return {
-        "conversation": conversations.select("backup_id", "label", "parent_label", F.col("backup_id").cast("string").alias("parent_id"), F.col("node.id").alias("id"), F.coalesce(F.col("node.messageCount").cast("string"), F.lit("")).alias("type")),
-        "message": owned.select("backup_id", "label", "parent_label", F.col("_cid").alias("parent_id"), F.col("node.id").alias("id"), F.coalesce("node.role", F.lit("")).alias("type")),
-        "part": parts.select("backup_id", "label", "parent_label", F.col("message_id").alias("parent_id"), F.element_at(F.split("label", r"\."), -1).alias("id"), F.coalesce("node.type", F.lit("")).alias("type")),
+        "conversation": _named(conversations.withColumns({"parent_id": F.col("doc.key").cast("string"), "type": F.col("messageCount").cast("string")}), "backup_id"),
+        "message": _named(owned.withColumns({"parent_id": F.col("conversationId"), "type": F.col("role")}), "backup_id"),
+        "part": _named(link(placed, messages, "doc"), "backup_id"),
     }
 
 
