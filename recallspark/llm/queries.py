@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm import conversations, copies, history, leakage, packing, pii, splitting
-from recallspark.session import table
+from recallspark.session import materialize, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,14 +31,36 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.found(table(spark, d, "records_v1_branch_memberships"), table(spark, d, "records_v1"))
 
 
-def p7_reply_links(spark: SparkSession, d: str) -> DataFrame:
+def p7_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """The paths that p7_found leaves out."""
+    return conversations.dropped(table(spark, d, "records_v1_branch_memberships"), table(spark, d, "records_v1"))
+
+
+#: Minutes within which p7_reply_links takes every message as a candidate; the share of time has faded there.
+HORIZON = 240.0
+
+
+def _log_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of the log's two sides, a message of the user and the agent's reply to it; a null reply was never said."""
     log, parts = table(spark, d, "interaction_log"), ("user_msg", "ai_reply")
     said = [(F.lit("user"), F.lit(True)), (F.col("agent_id"), F.col("ai_reply").isNotNull())]
     user, reply = (log.filter(kept).select((2 * F.col("id") + k).alias("key"), "agent_id", "logged_at", who.alias("who"), F.col(parts[k]).alias("text")) for k, (who, kept) in enumerate(said))
-    links = conversations.disentangle(user.unionByName(reply), "key", "agent_id", "logged_at", "who", "text")
-    named = [x for c, prefix in (("key", ""), ("parent", "parent_")) for x in (F.shiftright(c, 1).alias(f"{prefix}id"), F.when(F.pmod(c, F.lit(2)) == 0, parts[0]).when(F.col(c).isNotNull(), parts[1]).alias(f"{prefix}part"))]
-    return links.select(*named, "score")
+    return conversations.disentangle(user.unionByName(reply), "key", "agent_id", "logged_at", "who", "text", horizon=HORIZON)
+
+
+def _said(**columns: str) -> list:
+    """The row and the side of the log that a key names."""
+    return [x for c, prefix in columns.items() for x in (F.shiftright(c, 1).alias(f"{prefix}id"), F.when(F.pmod(c, F.lit(2)) == 0, "user_msg").when(F.col(c).isNotNull(), "ai_reply").alias(f"{prefix}part"))]
+
+
+def p7_reply_links(spark: SparkSession, d: str) -> DataFrame:
+    return _log_links(spark, d).select(*_said(key="", parent="parent_"), "score")
+
+
+def p7_link_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The thread of each message of the log: the tree of reply links it is in, and its depth there."""
+    links = materialize(_log_links(spark, d), "links")
+    return conversations.threads(links).select(*_said(key="", root="root_"), "depth")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +80,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_reply_links, p8_containers, p9_found, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_dropped, p7_reply_links, p7_link_trees, p8_containers, p9_found, p10_found, p10_pieces)}
 
 
 _SQL = {
@@ -78,4 +100,6 @@ SELECT DISTINCT doc_id, item_id FROM w JOIN g ON g.n = w.n AND g.gram = w.gram""
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    # The paths that are dropped are the others: the same conditions, denied.
+    kept, condition = _SQL["p7_found"].split(" WHERE bad.branch_id IS NULL AND ")
+    return _SQL | {"p7_dropped": f"{kept} WHERE NOT (bad.branch_id IS NULL AND {condition})"}
