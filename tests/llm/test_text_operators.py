@@ -69,10 +69,23 @@ def test_history_against_brute_force(spark, steps, tmp_path):
         rows.append((i, rid, text))
     rows += [(240 + k, f"same{k}", "the very same text again and again") for k in range(40)] + [(290, "n", None), (291, "m", "  ")]
     df = spark.createDataFrame([(*r, r[0] // 40) for r in rows], "id long, record_id string, content string, imported_at int")
-    got = {r.dup_id: r.kept_id for r in history.found(df, steps=steps).collect()}
+    got = {r.dup_id: r.kept_id for r in history.found(df, steps=steps, reopen=steps > 1).collect()}
     assert got == _brute_history(rows)
 
 
+def test_history_survives_a_broken_step(spark, tmp_path):
+    """A store opened again knows what was accepted; what a step left that didn't end is overwritten."""
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, "a", text), (2, "b", "quite another text that nothing resembles"), (3, "c", text + " eight"), (4, "b", "new words under an old id")], "id long, record_id string, content string")
+    path = f"{tmp_path}/store"
+    assert history.Store(spark, path, 10).ingest(df.filter("id <= 2")).count() == 0
+    spark.range(3).write.parquet(f"{path}/prints/step=1")
+    store = history.Store.open(spark, path)
+    assert store.steps == 1
+    assert {(r.kept_id, r.dup_id) for r in store.ingest(df.filter("id > 2")).collect()} == {(1, 3), (2, 4)}
+    assert history.Store.open(spark, path).steps == 2
+
+
 def test_history_empty(spark):
     df = spark.createDataFrame([], "id long, record_id string, content string, imported_at timestamp")
     assert history.found(df).count() == 0
