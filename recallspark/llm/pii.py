@@ -58,10 +58,10 @@ _STREET_EN = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Terrace|Close|Boulevard|B
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite)\.?\s+\d+[A-Za-z]?,?\s+)?"
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9])(?:{_UNIT}\d{{1,5}}[A-Za-z]?,?\s+(?:[NSEW]\.?\s+)?(?:[A-Z][\w'’-]+\s+){{1,3}}{_STREET_EN}\b"
-    rf"|(?i:{_UNIT}\d{{1,5}}[A-Z]?,?\s+(?:[NSEW]\.?\s+)?[\w'’-]{{3,}}\s+{_STREET_EN}\b)"
     r"|(?i:[\w-]{0,40}(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer)\s+\d{1,4}\s?[a-z]?\b)"
     r"|(?i:\d{1,4}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|impasse|place|allée|chemin|quai|cours|passage)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?[\w'’-]+)"
     r"|(?i:(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|carretera|ronda)\s*(?:(?:de\s+la|de\s+los|de\s+las|del|de)\s+)?[\w'’-]+(?:\s+[\w'’-]+)?,?\s+(?:n\.?º\s*)?\d{1,4}\b)"
+    rf"|(?P<plain>(?i:{_UNIT}\d{{1,5}}[A-Z]?,?\s+(?:[NSEW]\.?\s+)?[\w'’-]{{3,}}\s+{_STREET_EN}\b))"
     r")|(?:(?![到在址寄住于是])[一-鿿]){2,6}?(?:路|街|巷|大道|胡同|弄)\s*\d+\s*号(?:\s*\d+\s*[栋幢座])?(?:\s*\d+\s*室)?"
 )
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|M|Mme|Mlle|Sr|Sra|Srta|Don|Doña|Señor|Señora)"
@@ -86,6 +86,8 @@ _STREET_WORDS = (
     "straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "ufer", "rue", "impasse", "allée", "chemin", "quai", "cours", "passage",
     "calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "carretera", "ronda", "路", "街", "巷", "大道", "胡同", "弄",
 )
+#: What comes before the name of an English street, with its number.
+_TO_STREET = re.compile(r".*\d[a-z]?,?\s+(?:[nsew]\.?\s+)?", re.S)
 _BESIDE = re.compile(r"(?i)\b(?:st|rd|ln|ct|bd|ave|av|way|row)\b")
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
 
@@ -127,7 +129,12 @@ def _mentions(text: str) -> list[tuple]:
             for m in pattern.finditer(text):
                 if free(*m.span()):
                     take(*m.span())
-                    shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", m.group(0))) if kind != "street_address" else "street"
+                    if kind == "street_address":
+                        # A house number before small words may count things as well ("12 quiet gardens").
+                        plain = m.group("plain") is not None
+                        out.append((*m.span(), "street" if plain else kind, not plain, kind, "", "", _TO_STREET.sub("", m.group(0).lower())))
+                        continue
+                    shape = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", m.group(0)))
                     out.append((*m.span(), kind, True, kind, "", "", shape))
         for m in _NUMBER.finditer(text) if runs else ():
             if free(*m.span()):
@@ -187,8 +194,7 @@ def detect(texts: DataFrame, lexicon: DataFrame, rounds: int = ROUNDS) -> DataFr
     found = materialize(mentions(texts), "pii-mentions")
     numbers = found.filter(F.col("type") != "person_name")
     strong = numbers.filter("strong").select("src", "row_id", "at", "until", "type")
-    accepted = strong.unionByName(_weak_numbers(numbers, rounds)).unionByName(_names(found, lexicon, rounds))
-    return accepted
+    return strong.unionByName(_weak_numbers(numbers, rounds)).unionByName(_weak_streets(numbers, rounds)).unionByName(_names(found, lexicon, rounds))
 
 
 def _patterns(edges: DataFrame) -> DataFrame:
@@ -210,8 +216,29 @@ def _weak_numbers(numbers: DataFrame, rounds: int) -> DataFrame:
         seen = sided.filter(F.col("type") == "number").select("inst", "pattern").distinct().join(good, "pattern", "left")
         share = seen.groupBy("inst").agg(F.count("*").alias("n"), *[F.count_if(F.col("as") == t).alias(t) for t in ("phone", "id_number")])
         scored = materialize(share.select("inst", F.when(F.col("phone") / F.col("n") >= CONFIDENCE, "phone").when(F.col("id_number") / F.col("n") >= CONFIDENCE, "id_number").alias("as")).filter(F.col("as").isNotNull()), "pii-number-forms")
-    weak = numbers.filter(F.col("type") == "number")
-    return weak.join(scored, "inst").select("src", "row_id", "at", "until", F.col("as").alias("type"))
+    return _as_scored(numbers.filter(F.col("type") == "number"), scored)
+
+
+def _as_scored(weak: DataFrame, scored: DataFrame) -> DataFrame:
+    """The weak mentions whose form was scored, under the type it got; one form may be a third of them."""
+    counted = materialize(weak.groupBy("inst").agg(F.count("*").alias("n")).join(scored, "inst"), "pii-scored")
+    return join_counted(weak, counted, ["inst"], "n", weak.count()).select("src", "row_id", "at", "until", F.col("as").alias("type"))
+
+
+def _weak_streets(numbers: DataFrame, rounds: int) -> DataFrame:
+    """Streets in small letters or capitals alone: those named elsewhere as streets, or that stand where streets do."""
+    edges = materialize(numbers.filter(F.col("type").isin("street_address", "street")).select("strong", "inst", "before", "after").distinct(), "pii-street-edges")
+    sided = _patterns(edges)
+    named = edges.filter("strong").select("inst").distinct()
+    scored = named
+    for _ in range(rounds):
+        known = sided.join(scored.withColumn("known", F.lit(True)), "inst", "left")
+        pattern = known.groupBy("pattern").agg(F.count_distinct("inst").alias("all"), F.count_distinct(F.when(F.col("known"), F.col("inst"))).alias("hits"))
+        good = pattern.filter((F.col("all") >= SUPPORT) & (F.col("hits") >= 0.8 * F.col("all"))).select("pattern", F.lit(1.0).alias("good"))
+        seen = sided.select("inst", "pattern").distinct().join(good, "pattern", "left")
+        learned = seen.groupBy("inst").agg(F.avg(F.coalesce("good", F.lit(0.0))).alias("share")).filter(F.col("share") >= CONFIDENCE).select("inst")
+        scored = materialize(named.unionByName(learned).distinct(), "pii-streets")
+    return _as_scored(numbers.filter(F.col("type") == "street"), scored.withColumn("as", F.lit("street_address")))
 
 
 def _names(found: DataFrame, lexicon: DataFrame, rounds: int) -> DataFrame:

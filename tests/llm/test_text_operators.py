@@ -103,6 +103,15 @@ def test_mentions_by_form():
         assert {m[2] for m in pii._mentions(text) if m[3]} == kinds, text
 
 
+def test_streets_in_small_letters(spark):
+    """A number before small words is a street if it is named as one elsewhere or stands where streets do."""
+    lexicon = spark.createDataFrame([], "name_part string, name_kind string")
+    rows = [f"i live at {n} {street} now" for n, street in ((1, "Tannery Lane"), (22, "Juniper Road"), (3, "Foxglove Close"), (4, "Saltmarsh Street"))]
+    rows += ["i live at 9 pebble lane now", "TO 7 TANNERY LANE PLEASE", "we found 579 fragile gardens there", "we found 12 quiet gardens there", "there were 30 loose gardens", None, ""]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(rows)], "src string, row_id long, text string")
+    assert {(r.row_id, r.type) for r in pii.detect(df, lexicon).collect()} == {(i, "street_address") for i in range(6)}
+
+
 def test_names_are_learned_from_contexts(spark):
     seeds = [("Mara", "given"), ("Elke", "given"), ("Noor", "given"), ("Corvane", "family"), ("Lamorrow", "family"), ("Rastholm", "family")]
     lexicon = spark.createDataFrame(seeds, "name_part string, name_kind string")
