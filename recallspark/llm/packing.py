@@ -54,7 +54,8 @@ def pack(items: DataFrame, capacity: int = 2048, shares: dict[str, float] | None
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _fill(int(key[0]), rows, capacity)
 
-    return joined.groupBy("grp").applyInPandas(fill, "item bigint, piece int, source string, size bigint, container string")
+    # As many partitions as groups, as the few bytes of a group would otherwise put all of them into one task.
+    return joined.repartition(groups, "grp").groupBy("grp").applyInPandas(fill, "item bigint, piece int, source string, size bigint, container string")
 
 
 def _fill(group: int, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -113,3 +114,23 @@ def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: containers, tokens, mean fill."""
     each = packed.groupBy("container").agg(F.sum("size").alias("used"))
     return each.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.avg(F.col("used") / capacity), 6).alias("mean_fill"))
+
+
+def mixture_report(packed: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """How well the containers keep the sources' shares: source, target, share, deviation.
+
+    target: the share given for the source, by default its share of all tokens; share: its share of all tokens; deviation:
+    mean over all containers that hold any tokens of the distance between its share of the container and the target.
+    Sources without tokens have no row."""
+    used = packed.filter(F.col("size") > 0).groupBy("container", "source").agg(F.sum("size").alias("part"))
+    whole = used.groupBy("container").agg(F.sum("part").alias("whole"))
+    total, containers = whole.agg(F.sum("whole"), F.count("*")).first()
+    of_source = used.groupBy("source").agg((F.sum("part") / F.lit(total or 1)).alias("share"))
+    if shares is None:
+        target = of_source.withColumn("target", F.col("share"))
+    else:
+        given = packed.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, target double")
+        target = of_source.join(given, "source", "left").withColumn("target", F.coalesce("target", F.lit(0.0)))
+    apart = used.join(whole, "container").join(target, "source").groupBy("source", "target", "share").agg(F.sum(F.abs(F.col("part") / F.col("whole") - F.col("target"))).alias("sum"), F.count("*").alias("n"))
+    # Containers without the source are off by the whole target.
+    return apart.select("source", F.round("target", 6).alias("target"), F.round("share", 6).alias("share"), F.round((F.col("sum") + (F.lit(containers) - F.col("n")) * F.col("target")) / F.lit(max(containers, 1)), 6).alias("deviation"))

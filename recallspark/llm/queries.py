@@ -67,6 +67,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.measure(table(spark, d, "documents")))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The sources' shares in the containers of p8_containers."""
+    return packing.mixture_report(materialize(p8_containers(spark, d), "packed"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -80,7 +85,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_dropped, p7_reply_links, p7_link_trees, p8_containers, p9_found, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_dropped, p7_reply_links, p7_link_trees, p8_containers, p8_mixture, p9_found, p10_found, p10_pieces)}
 
 
 _SQL = {

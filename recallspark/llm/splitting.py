@@ -86,12 +86,17 @@ def _pack(t: _Text, a: int, b: int, level: int, room: int) -> list[tuple[int, in
             stack.append((a, cut))
             a = cut
         return [*stack, (a, b)] if b > a else stack
+    # Siblings that fit are merged; the parts of one that was opened stay apart from the siblings around it.
+    whole = False
     for c, d in _children(t, a, b, level):
-        for part in [(c, d)] if t.size(c, d) <= room else _pack(t, c, d, level + 1, room):
-            if stack and t.size(stack[-1][0], part[1]) <= room:
-                stack[-1] = (stack[-1][0], part[1])
-            else:
-                stack.append(part)
+        if t.size(c, d) > room:
+            stack += _pack(t, c, d, level + 1, room)
+            whole = False
+        elif whole and t.size(stack[-1][0], d) <= room:
+            stack[-1] = (stack[-1][0], d)
+        else:
+            stack.append((c, d))
+            whole = True
     return stack
 
 

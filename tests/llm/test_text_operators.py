@@ -305,6 +305,9 @@ def test_shares_are_even_across_containers(spark):
     packed = packing.pack(df, 2000, containers_per_group=1000).toPandas()
     share = packed[packed.source == "small"].groupby("container")["size"].sum().reindex(packed.container.unique(), fill_value=0) / 2000
     assert abs(share - 0.25).max() <= 0.1
+    report = {r.source: r for r in packing.mixture_report(packing.pack(df, 2000, containers_per_group=1000)).collect()}
+    assert report["small"].share == 0.25 and report["small"].deviation == round(float(abs(share - 0.25).mean()), 6)
+    assert packing.mixture_report(packing.pack(df.limit(0))).count() == 0
 
 
 def test_leaks_against_brute_force(spark):
