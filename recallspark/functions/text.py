@@ -57,3 +57,14 @@ def nfkc(text: Column) -> Column:
         return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
     return fold(text)
+
+
+def reference(scheme: str, path: Column, **parameters: Column) -> Column:
+    """scheme://path?name=value&...: values percent-encoded; null parameters are left out."""
+    pairs = [F.concat(F.lit(f"{name}="), F.url_encode(value.cast("string"))) for name, value in parameters.items()]
+    return F.concat(F.lit(f"{scheme}://"), path, F.when(F.coalesce(*pairs).isNotNull(), F.concat(F.lit("?"), F.concat_ws("&", *pairs))).otherwise(""))
+
+
+def query_value(url: Column, name: str) -> Column:
+    """A query parameter of a reference, percent-decoded; null where it has none or isn't a URL."""
+    return F.url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit("")))

@@ -102,3 +102,75 @@ def annotate(records: DataFrame, record: str, evidence: DataFrame, versioned: Da
     """(record, claim_id, version) of the active claims that each record is evidence of; records keep their order elsewhere."""
     active = versioned.filter("status = 'active'").select("claim_id", "version")
     return records.select(record).join(evidence.select(record, "claim_id"), record).join(active, "claim_id").select(record, "claim_id", "version")
+
+
+# Projection runs and reads -------------------------------------------------------------------------------------------------
+
+
+def next_versions(existing: DataFrame, statements: DataFrame, claim: str, order: str, value: str) -> DataFrame:
+    """(claim, value, order, version) to append: statements that change a claim, numbered on from its last version.
+
+    existing: (claim, value, version). A statement that says what the one before it said, or the last version where it is
+    the first, makes none; so the same run again, on what it wrote, adds nothing. Null claims are left out; a null value is a
+    value. A claim's new statements are ordered in one task.
+    """
+    last = existing.groupBy(claim).agg(F.max("version").alias("_v"), F.max_by(F.struct(value), "version").alias("_last"))
+    rows = statements.filter(F.col(claim).isNotNull()).select(claim, order, value).join(last, claim, "left")
+    up = Window.partitionBy(claim).orderBy(order)
+    before = F.coalesce(F.lag(F.struct(value)).over(up), F.col("_last"))
+    changed = rows.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value)))
+    return changed.withColumn("version", (F.coalesce("_v", F.lit(0)) + F.row_number().over(up)).cast("bigint")).select(claim, value, order, "version")
+
+
+def with_status(versioned: DataFrame, claim: str) -> DataFrame:
+    """versioned with status derived from the greatest version of its claim: one aggregation, no window over a claim."""
+    last = versioned.groupBy(claim).agg(F.max("version").alias("_max"))
+    return versioned.join(last, claim).withColumn("status", F.when(F.col("version") == F.col("_max"), "active").otherwise("superseded")).drop("_max")
+
+
+def integrity(versioned: DataFrame, claim: str) -> DataFrame:
+    """(claim, version, fault) of versions whose stated status isn't the one derived: not_superseded, or not_active; and
+    repeated, for a version that a claim has more than once."""
+    counted = versioned.groupBy(claim, "version").agg(F.count("*").alias("_n"), F.min("status").alias("status"))
+    derived = with_status(counted.withColumnRenamed("status", "_stated"), claim)
+    fault = F.when(F.col("_n") > 1, "repeated").when((F.col("_stated") == "active") & (F.col("status") != "active"), "not_superseded").when((F.col("_stated") != "active") & (F.col("status") == "active"), "not_active")
+    return derived.select(claim, "version", fault.alias("fault")).filter(F.col("fault").isNotNull())
+
+
+def read_claims(versioned: DataFrame, evidence: DataFrame, visible: DataFrame, visible_key: str, record: str = "record_id") -> DataFrame:
+    """(claim_id, version, n_evidence): the active claims that may be read, as all of their evidence is visible."""
+    gate = evidence_gate(evidence, "claim_id", record, visible, visible_key).filter("readable")
+    return versioned.filter("status = 'active'").join(gate, "claim_id").select("claim_id", "version", "n_evidence")
+
+
+def provenance(versioned: DataFrame, evidence: DataFrame, visible: DataFrame, visible_key: str, record: str = "record_id") -> DataFrame:
+    """(claim_id, version, record): the evidence of the claims that may be read."""
+    return read_claims(versioned, evidence, visible, visible_key, record).select("claim_id", "version").join(evidence.select("claim_id", record), "claim_id").distinct()
+
+
+def claim_conflicts(members: DataFrame, status: DataFrame, readable: DataFrame, key: str = "conflict_id") -> DataFrame:
+    """(claim_id, conflict, status) of the conflicts each claim is in, if all of a conflict's claims may be read."""
+    shown = mask_conflicts(members, readable, key).filter("readable").select(key)
+    return members.select("claim_id", key).distinct().join(shown, key, "left_semi").join(status, key).select("claim_id", key, "status")
+
+
+def annotate_conflicts(records: DataFrame, record: str, evidence: DataFrame, conflicts: DataFrame, key: str = "conflict_id") -> DataFrame:
+    """(record, conflict, status, n_claims) of the conflicts that a record's claims are in; conflicts as claim_conflicts gives."""
+    joined = records.select(record).join(evidence.select(record, "claim_id").distinct(), record).join(conflicts, "claim_id")
+    return joined.groupBy(record, key, "status").agg(F.count_distinct("claim_id").alias("n_claims"))
+
+
+def decision_targets(decisions: DataFrame, versioned: DataFrame, target: str = "target") -> DataFrame:
+    """decisions with target_version and target_status of the claim each names; null where it names none or an unknown one."""
+    claims = versioned.groupBy("claim_id").agg(F.max("version").alias("target_version"), F.max_by("status", "version").alias("target_status"))
+    return decisions.join(claims, F.col(target) == F.col("claim_id"), "left").drop("claim_id")
+
+
+def duplicate_hashes(rows: DataFrame, hashed: str) -> DataFrame:
+    """(hash, n) of hashes that several rows have; null hashes don't count."""
+    return rows.filter(F.col(hashed).isNotNull()).groupBy(hashed).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def duplicate_counters(rows: DataFrame, hashed: str) -> DataFrame:
+    """One row: n_hashes repeated, and n_rows beyond the first of each."""
+    return duplicate_hashes(rows, hashed).agg(F.count("*").alias("n_hashes"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_rows"))

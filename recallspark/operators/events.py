@@ -25,6 +25,13 @@ def exclusion(text: Column, rules: dict[str, str] = EXCLUSIONS) -> Column:
     return F.coalesce(*[F.when(text.rlike(rule), name) for name, rule in rules.items()])
 
 
+def exclusion_near(text: Column, event: str, reach: int = 24, rules: dict[str, str] = EXCLUSIONS) -> Column:
+    """The first reason that stands within `reach` characters of the event (a pattern), on either side and in one sentence,
+    or null: a denial elsewhere in a long text says nothing of the event."""
+    gap = rf"[^.!?。！？]{{0,{reach}}}?"
+    return F.coalesce(*[F.when(text.rlike(rf"(?i)(?:{rule}){gap}(?:{event})|(?:{event}){gap}(?:{rule})"), name) for name, rule in rules.items()])
+
+
 def participation(text: Column, markers: tuple[str, ...] = PARTICIPATION) -> Column:
     """The markers a text has, comma-joined; '' if none."""
     return F.array_join(F.filter(F.array(*[F.when(F.contains(F.lower(text), F.lit(m)), m) for m in markers]), lambda x: x.isNotNull()), ",")
@@ -49,10 +56,17 @@ def nearby(rows: DataFrame, condition: Column, reach: int = 2) -> DataFrame:
     return joined.withColumn("near", F.coalesce("_near", F.col("position").isNull() & condition, F.lit(False))).drop("_near")
 
 
-def clock(text: Column, binding: str = r"(?:at|on|um|am|le|el|于|在)", reach: int = 24) -> Column:
-    """Microseconds of an absolute zoned time that stands within `reach` characters after a binding word, else null."""
+#: Words that bind a time to what is said, and words that deny it. Configuration.
+BINDING = r"(?:\b(?:at|on|since|um|am|seit|le|depuis|el|desde)\b|于|在|从)"
+DENIED = r"(?:\b(?:not|never|nicht|nie|pas|jamais|no|nunca)\b|不是|没有|并非)"
+
+
+def clock(text: Column, binding: str = BINDING, reach: int = 24, denied: str = DENIED) -> Column:
+    """Microseconds of an absolute zoned time that stands within `reach` characters after a binding word, else null; also
+    null where a word within `reach` characters before the binding word denies it."""
     stamp = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:\d{2})"
-    found = F.regexp_extract(text, rf"(?i)\b{binding}\b[^\d]{{0,{reach}}}({stamp})", 1)
+    bound = rf"(?i){binding}[^\d]{{0,{reach}}}?({stamp})"
+    found = F.when(~text.rlike(rf"(?i){denied}[^\d.!?。！？]{{0,{reach}}}?{binding}[^\d]{{0,{reach}}}?{stamp}"), F.regexp_extract(text, bound, 1))
     return timestamps.utc_micros(F.nullif(found, F.lit("")))
 
 

@@ -168,3 +168,131 @@ def cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int =
     best = hits.groupBy("question_id").agg(F.min("tier").alias("tier"))
     ranked = hits.join(F.broadcast(best), ["question_id", "tier"])
     return top_k(ranked, [F.col("score").desc(), F.col("key").asc()], k, ["question_id"]).select("question_id", "key", "tier", "score", "rank")
+
+
+# Traces and shared events --------------------------------------------------------------------------------------------------
+
+#: How many anchors a trace follows, how long they are, and how many candidates of a shared event are looked at.
+MAX_TRACE_ANCHORS, TRACE_CHARS, MAX_EVENT_CANDIDATES = 8, (8, 120), 200
+
+
+def trace_anchors(hits: DataFrame, text: str, most: int = MAX_TRACE_ANCHORS) -> list[str]:
+    """Literal anchors in the texts of a bounded result list: what stands in quotes first, else lines, longer ones first.
+
+    An anchor has 8 to 120 characters, 8 of them letters or digits, and isn't a heading that ends with a colon; list marks
+    and quotes round it go. Found in Catalyst, `most` of them spread over the order are kept.
+    """
+    from recallspark.plans.planner import sample_evenly
+
+    low, high = TRACE_CHARS
+    quoted = F.concat(F.regexp_extract_all(F.col(text), F.lit(rf"[“「『]([^”」』]{{{low},{high}}})[”」』]"), F.lit(1)), F.regexp_extract_all(F.col(text), F.lit(rf'"([^"\r\n]{{{low},{high}}})"'), F.lit(1)))
+    lines = F.split(F.col(text), r"\r?\n")
+    tag = lambda parts, rank: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s*(?:[-*•>]+|\d+[.)、])\s*", ""), r"^[\s'\"“”「」『』]+|[\s'\"“”「」『』]+$", "")).alias("anchor")))
+    each = hits.filter(F.col(text).isNotNull()).select(F.explode(F.concat(tag(quoted, 0), tag(lines, 1))).alias("x")).select("x.rank", F.regexp_replace("x.anchor", r"\s+", " ").alias("anchor"))
+    lexical_chars = F.length(F.regexp_replace("anchor", r"[^\p{L}\p{N}]", ""))
+    kept = each.filter(F.length("anchor").between(low, high) & (lexical_chars >= low) & ~F.col("anchor").rlike("[:：]$")).groupBy(F.lower("anchor").alias("folded")).agg(F.min("rank").alias("rank"), F.min("anchor").alias("anchor"))
+    ordered = kept.orderBy("rank", F.length("anchor").desc(), "anchor").select("anchor").collect()
+    return sample_evenly([r.anchor for r in ordered], most)
+
+
+def anchor_counts(docs: DataFrame, text: str, anchors: Sequence[str], least: int = 2) -> DataFrame:
+    """(anchor, n) of the anchors that at least `least` texts hold: one pass, one row of counters, turned into rows."""
+    if not anchors:
+        return docs.sparkSession.createDataFrame([], "anchor string, n bigint")
+    counts = docs.agg(*[F.coalesce(F.sum(like_contains(F.col(text), a).cast("bigint")), F.lit(0)).alias(f"_{i}") for i, a in enumerate(anchors)])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("anchor"), F.col(f"_{i}").alias("n")) for i, a in enumerate(anchors)]))
+    return counts.select(each.alias("x")).select("x.*").filter(F.col("n") >= least)
+
+
+def original_trace(docs: DataFrame, key: str, text: str, time: str, anchors: Sequence[str], limit: int = 20) -> DataFrame:
+    """(key, score, rank): the rows that hold two of the anchors (one, if only one is followed), oldest first.
+
+    An anchor that only one row holds leads nowhere else and isn't followed."""
+    followed = [r.anchor for r in anchor_counts(docs, text, anchors).collect()]
+    rows = docs.select(key, F.col(time).alias("_time"), F.col(text).alias("_text")).withColumn("score", term_score(F.col("_text"), followed))
+    found = rows.filter(F.col("score") >= (2 if len(followed) > 1 else 1)) if followed else rows.filter(F.lit(False))
+    return top_k(found, order_by("trace", "_time", "_text", key), limit).select(key, "score", "rank")
+
+
+def event_candidates(docs: DataFrame, key: str, text: str, time: str, anchors: Sequence[str], dyadic: Sequence[str], limit: int = MAX_EVENT_CANDIDATES) -> DataFrame:
+    """(key, prioritized, rank, truncated): rows that hold an anchor of a shared event, those with a word of two people first.
+
+    One scan. Each of the two classes is ordered by time and key and told up to `limit`; those of the second class fill up
+    what the first leaves of it. truncated: a class has more."""
+    found = docs.filter(any_term(F.col(text), anchors)).select(key, F.col(time).alias("_time"), any_term(F.col(text), dyadic).alias("prioritized"))
+    order = [F.col("_time").asc_nulls_last(), F.col(key).asc()]
+    first = [found.filter(side).orderBy(*order).limit(limit + 1) for side in (F.col("prioritized"), ~F.col("prioritized"))]
+    both = first[0].unionByName(first[1])
+    sizes = both.groupBy("prioritized").count().agg(F.coalesce(F.bool_or(F.col("count") > limit), F.lit(False)).alias("truncated"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.orderBy(F.col("prioritized").desc(), *order))).filter(F.col("rank") <= limit)
+    return ranked.crossJoin(F.broadcast(sizes)).select(key, "prioritized", "rank", "truncated")
+
+
+#: The tiers of full_cascade, in order.
+TIERS = ("anchored_intent", "exact_phrase", "intent", "focused_phrases", "focused_relaxed", "focused_terms", "relaxed", "terms", "literal")
+#: The columns of its questions.
+QUESTION = (
+    "question_id string, literal string, exact array<string>, anchored boolean, required array<string>, optional array<string>, least int, bonus array<string>, "
+    "focused array<string>, focused_ascii array<string>, focused_other array<string>, focused_terms array<string>, wide_ascii array<string>, wide_other array<string>, wide_terms array<string>"
+)
+#: Questions that one scan answers.
+QUESTIONS_PER_SCAN = 500
+
+
+def full_cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int = 10) -> DataFrame:
+    """(question_id, key, tier, tier_name, score, rank): per question the rows of its first tier that has any.
+
+    questions: QUESTION. Tiers: intent (all required terms and at least `least` optional ones), before all others where the
+    question is anchored, and then nothing else; an exact phrase; intent; all focused phrases; relaxed focused phrases (all
+    ASCII ones, one of the others); one focused term; relaxed phrases; one term; the literal. Phrases fold Unicode case and
+    have three characters or more, terms fold ASCII case. score: required, optional and bonus terms that the text has.
+    Empty lists make no tier; null texts match nothing.
+
+    All tiers of a batch of questions are tested in one scan; a longer batch takes one scan per QUESTIONS_PER_SCAN of it, so
+    that what is broadcast stays bounded.
+    """
+    scans = max(1, -(-questions.count() // QUESTIONS_PER_SCAN))
+    # Filled evenly, unlike by a hash.
+    numbered = [(r, i % scans) for i, r in enumerate(questions.select([c.split()[0] for c in QUESTION.split(", ")]).orderBy("question_id").collect())]
+    hits = None
+    for scan in range(scans):
+        part = docs.sparkSession.createDataFrame([tuple(r) for r, s in numbered if s == scan], QUESTION)
+        found = _tiers(docs, key, text, part)
+        hits = found if hits is None else hits.unionByName(found)
+    best = hits.groupBy("question_id").agg(F.min("tier").alias("tier"))
+    ranked = top_k(hits.join(best, ["question_id", "tier"]), [F.col("score").desc(), F.col("key").asc()], k, ["question_id"])
+    return ranked.select("question_id", "key", "tier", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1).alias("tier_name"), "score", "rank")
+
+
+def _tiers(docs: DataFrame, key: str, text: str, questions: DataFrame) -> DataFrame:
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("ascii"), F.lower(F.col(text)).alias("low"))
+    # What all questions ask is tested once per row before it meets each of them.
+    asked = questions.select(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower).alias(c) if c in _LISTS else F.col(c) for c in questions.columns])
+    rows = rows.crossJoin(F.broadcast(asked))
+    term = lambda t: F.contains(F.col("ascii"), t)
+    phrase = lambda t: (F.length(t) >= 3) & F.contains(F.col("low"), t)
+    some = lambda c: F.size(c) > 0
+    count = lambda c: F.size(F.filter(c, term))
+    relaxed_ = lambda a, o: (some(a) | some(o)) & F.forall(a, phrase) & (~some(o) | F.exists(o, phrase))
+    intent = (some("required") | some("optional")) & F.forall("required", term) & (~some("optional") | (count("optional") >= F.col("least")))
+    anchored = F.coalesce("anchored", F.lit(False))
+    tests = [anchored & intent, F.exists("exact", phrase), intent, some("focused") & F.forall("focused", phrase), relaxed_("focused_ascii", "focused_other"), F.exists("focused_terms", term), relaxed_("wide_ascii", "wide_other"), F.exists("wide_terms", term), (F.length("literal") > 0) & term(F.lower("literal"))]
+    tier = F.when(tests[0], 0).when(anchored, F.lit(None).cast("int"))
+    for number, test in enumerate(tests[1:], 1):
+        tier = tier.when(test, number)
+    found = rows.select("question_id", "key", tier.alias("tier"), (count("required") + count("optional") + count("bonus")).alias("score"))
+    return found.filter(F.col("tier").isNotNull())
+
+
+_LISTS = {part.split()[0] for part in QUESTION.split(", ") if part.endswith("array<string>")}
+
+
+def rebuild(docs: DataFrame, key: str, text: str, path: str) -> int:
+    """Writes the trigram index of docs anew, in place of the one at path; the number of its rows."""
+    postings(docs, key, text).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path).count()
+
+
+def by_ids(records: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """The records that ids name, all columns; repeated and null ids name nothing more."""
+    return records.join(ids.select(F.col(id_).alias(key)).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")

@@ -86,3 +86,81 @@ def sessions(rows: DataFrame, by: str, at: str, key: str, gap_minutes: int = 45)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     opens = F.coalesce((micros - F.lag(micros).over(order) >= gap_minutes * 60_000_000).cast("int"), F.lit(1))
     return rows.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
+# Scalars of the older path ---------------------------------------------------------------------------------------------------
+
+#: What a word adds to importance, and words that raise or lower toxicity, in order.
+IMPORTANCE = {"保长": 0.2, "master": 0.2, "催": 0.2, "哭": 0.3, "难过": 0.3}
+TOXIC = ("滚", "嘴臭", "瓜娃子", "臭", "烦", "讨厌", "蠢")
+SWEET = ("亲", "爱", "乖", "棒", "厉害", "谢谢", "好棒")
+#: Minutes between pushes and pushes a day, by trigger level.
+LEVELS = {"L1": (60, 5), "L2": (120, 3), "L3": (30, 2)}
+
+
+def importance(text: Column, words: dict[str, float] = IMPORTANCE) -> Column:
+    """0.5 and what each word found adds, at most 1; 0.5 for null."""
+    added = sum((F.when(F.contains(text, F.lit(w)), boost).otherwise(0.0) for w, boost in words.items()), F.lit(0.5))
+    return F.round(F.least(added, F.lit(1.0)), 6)
+
+
+def toxicity(text: Column, toxic: tuple[str, ...] = TOXIC, sweet: tuple[str, ...] = SWEET) -> Column:
+    """0.2 for each toxic word found, then 0.1 less for each sweet one but never below 0, at most 1; 0 for null."""
+    score = sum((F.when(F.contains(text, F.lit(w)), 0.2).otherwise(0.0) for w in toxic), F.lit(0.0))
+    # The floor at 0 after each step is the floor of the whole, as every step goes down.
+    less = sum((F.when(F.contains(text, F.lit(w)), 0.1).otherwise(0.0) for w in sweet), F.lit(0.0))
+    return F.round(F.least(F.greatest(score - less, F.lit(0.0)), F.lit(1.0)), 6)
+
+
+def push_interval(conscientiousness: Column) -> Column:
+    """Minutes: 15 below 0.3, 120 above 0.7, else 60; 60 for null."""
+    return F.when(conscientiousness < 0.3, 15).when(conscientiousness > 0.7, 120).otherwise(60)
+
+
+def trigger_level(urgent: Column, in_saga: Column) -> Column:
+    return F.when(urgent, "L3").when(in_saga, "L2").otherwise("L1")
+
+
+def falsy_default(value: Column, default: float) -> Column:
+    """The value, or the default where it is null or zero: the older path takes zero for nothing."""
+    return F.when(value.isNull() | (value == 0), F.lit(default)).otherwise(value)
+
+
+def persona_update(warmth: Column, directness: Column, stress: Column) -> tuple[Column, Column]:
+    """Under stress above 0.7 warmth grows and directness falls by 0.1; both stay within 0 and 1."""
+    clamp = lambda v: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), 6)
+    tense = F.when(stress > 0.7, 0.1).otherwise(0.0)
+    return clamp(warmth + tense), clamp(directness - tense)
+
+
+def user_state(actions: DataFrame, by: str, at: str, action: str, states: dict[str, tuple[str, int]], now: Column) -> DataFrame:
+    """(by, state): of each one's last action the first keyword in it that has a state whose expected minutes, half as many
+    again, haven't passed; null else. states: keyword -> (state, minutes), in order."""
+    last = actions.groupBy(by).agg(F.max_by(F.struct(F.col(at).alias("at"), F.col(action).alias("what")), at).alias("l"))
+    minutes = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("l.at").cast("timestamp"))) / 60_000_000
+    state = F.coalesce(*[F.when(F.contains("l.what", F.lit(word)) & (minutes < 1.5 * expected), name) for word, (name, expected) in states.items()])
+    return last.select(by, state.alias("state"))
+
+
+def opposite_pairs(rows: DataFrame, by: str, key: str, valence: str, least: float = 0.3, most: int = 2) -> DataFrame:
+    """(by, key, other, group_id): each strongly felt row with the first `most` rows before it, by key, of the opposite sign.
+
+    What came before is looked up by place among the rows of the other sign, so that a group is joined on places and never
+    paired as a whole. Rows within `least` of zero, and null ones, take no part.
+    """
+    felt = rows.filter(F.abs(F.col(valence)) > least).select(by, key, (F.col(valence) > 0).alias("up"))
+    placed = felt.withColumn("n", F.row_number().over(Window.partitionBy(by, "up").orderBy(key))).filter(F.col("n") <= most)
+    firsts = placed.select(by, F.col(key).alias("other"), (~F.col("up")).alias("up"))
+    pairs = felt.join(firsts, [by, "up"]).filter(F.col("other") < F.col(key))
+    return pairs.select(by, key, "other", F.substring(F.sha2(F.concat_ws("|", F.col(by).cast("string"), F.col(key).cast("string")), 256), 1, 8).alias("group_id"))
+
+
+def active_rank(rows: DataFrame, by: str, key: str, weight: str, limit: int) -> DataFrame:
+    """The `limit` rows of greatest weight for each `by`, with rank; ties go to the smaller key."""
+    order = Window.partitionBy(by).orderBy(F.col(weight).desc(), F.col(key).asc())
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def fixed_embedding(text: Column, size: int = 1536) -> Column:
+    """The stand-in embedding: every component 0.1, so that all distances are 0; null for null."""
+    return F.when(text.isNotNull(), F.array_repeat(F.lit(0.1), size))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark.operators import timestamps
 from recallspark.operators.dewey import explode_path
-from recallspark.operators.hierarchy import ancestor_pairs, forest
+from recallspark.operators.hierarchy import forest
 
 ROLES = ("system", "user", "assistant", "tool", "developer")
 #: One record as packages state it. Positions of several branches come as an array.
@@ -71,7 +71,10 @@ def conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 def append(new: DataFrame, path: str, batch_id: str) -> int:
     """Append the records whose id isn't there yet, as one batch folder; a batch that is there already is a replay and adds
-    nothing. Returns the number added."""
+    nothing. Returns the number added.
+
+    An id that comes with two contents, within the batch or against the store, stops the batch (where content_sha256 is
+    given); rows that repeat are added once."""
     spark = new.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
@@ -79,9 +82,16 @@ def append(new: DataFrame, path: str, batch_id: str) -> int:
     if files.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):
         return 0
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fresh = new
-    if files.exists(root) and len(files.listStatus(root)):
-        fresh = new.join(spark.read.parquet(path).select("record_id"), "record_id", "left_anti")
+    known = spark.read.parquet(path) if files.exists(root) and len([f for f in files.listStatus(root) if f.getPath().getName() != f"batch={batch_id}"]) else None
+    if known is not None:
+        known = known.filter(F.col("batch").cast("string") != batch_id)
+    if "content_sha256" in new.columns:
+        clash = conflicts(new, known if known is not None else new.limit(0)).count()
+        if clash:
+            raise ValueError(f"{clash} record ids come with another content")
+    fresh = new.dropDuplicates(["record_id"])
+    if known is not None:
+        fresh = fresh.join(known.select("record_id"), "record_id", "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return spark.read.parquet(f"{path}/batch={batch_id}").count()
 
@@ -108,9 +118,10 @@ def tree_backup_messages(backups: DataFrame) -> DataFrame:
     said = explode_path(backups, "backup_id", "data", ["messages"]).select("backup_id", F.col("node.conversationId").alias("cid"), F.col("node.sourceMessageId").alias("mid"), F.col("node.parentSourceMessageId").alias("parent"), F.col("node.role").alias("role"), F.col("node.createdAt").alias("created_ms"), part_text(F.col("node.contentParts")).alias("content"))
     leaf = explode_path(backups, "backup_id", "data", ["conversations"]).select("backup_id", F.col("node.id").alias("cid"), F.col("node.currentLeafSourceMessageId").alias("leaf"))
     placed = forest(said.select(F.struct("backup_id", "cid").alias("tree"), "mid", "parent"), "tree", "mid", "parent")
-    up = ancestor_pairs(placed).select("tree", F.col("ancestor").alias("mid"), F.col("node").alias("leaf")).unionByName(placed.filter("depth >= 0").select("tree", F.col("node").alias("mid"), F.col("node").alias("leaf")))
-    on_path = up.join(leaf.select(F.struct("backup_id", "cid").alias("tree"), "leaf"), ["tree", "leaf"], "left_semi").select("tree", "mid").distinct()
-    depth = placed.select("tree", F.col("node").alias("mid"), "depth").join(on_path, ["tree", "mid"], "left_semi")
+    # A node is on the path to a leaf if the leaf's entry lies between its own entry and exit, within one root.
+    ends = leaf.select(F.struct("backup_id", "cid").alias("tree"), "leaf").join(placed.filter("depth >= 0").select("tree", F.col("node").alias("leaf"), F.col("root").alias("_root"), F.col("entry").alias("_at")), ["tree", "leaf"]).select("tree", "_root", "_at").distinct()
+    above = placed.filter("depth >= 0").join(ends, "tree").filter((F.col("root") == F.col("_root")) & (F.col("_at") >= F.col("entry")) & (F.col("_at") < F.col("exit")))
+    depth = above.select("tree", F.col("node").alias("mid"), "depth").distinct()
     return said.join(depth.select("tree.backup_id", "tree.cid", "mid", F.col("depth").alias("position")), ["backup_id", "cid", "mid"], "left")
 
 
@@ -154,3 +165,10 @@ def zip_shards(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["archive", "shard", "conversations"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, shard string, conversations string")
+
+
+def membership_conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """(record_id, branch_id, position, known) of new memberships that state another position than the store's. A position
+    that one of the sides doesn't state is no conflict; null ids meet nothing."""
+    known = existing.select("record_id", "branch_id", F.col("position").alias("known")).distinct()
+    return new.select("record_id", "branch_id", "position").distinct().join(known, ["record_id", "branch_id"]).filter(F.col("position") != F.col("known"))
