@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.operators import claims, context, lexical, visibility
-from recallspark.plans import planner
+from recallspark.operators import claims, context, identity, lexical, packets, visibility
+from recallspark.plans import intents, planner
 
 
 class Engine:
@@ -48,9 +48,11 @@ class Engine:
         score = lexical.intent_score(c, required=plan.anchors, any_of=wanted, bonus=plan.bonus)
         phase = lexical.phase_priority(lexical.phase(F.col("source_kind"), F.col("source_ref")), plan.prefer_phase or "final_answer")
         hits = seen.withColumns({"tier": tier, "score": score, "phase": phase}).filter(F.col("tier").isNotNull())
-        first = hits.agg(F.min("tier").alias("_first"))
-        best = hits.join(F.broadcast(first), F.col("tier") == F.col("_first"))
-        ranked = lexical.top_k(best, lexical.order_by(plan.order, "created_at", "content", "id"), limit)
+        # The tier comes first in the order, so that one scan serves both the least tier and its rows: of the first rows, those
+        # of the first one's tier are kept.
+        order = [F.col("tier").asc(), *lexical.order_by(plan.order, "created_at", "content", "id")]
+        ranked = lexical.top_k(hits, order, limit)
+        ranked = ranked.withColumn("_first", F.min("tier").over(Window.partitionBy())).filter(F.col("tier") == F.col("_first"))
         sure = lexical.confidence(c, plan.literal, F.col("verified"), F.col("authority"), F.col("source_ref"))
         return ranked.select("rank", "id", "record_id", "tier", "score", sure.alias("confidence"), "content")
 
@@ -85,3 +87,62 @@ class Engine:
         for name, query in todo[: planner.MAX_PASSES]:
             passes.append((name, [r["record_id"] for r in self.recall(query, agent, limit, **bounds).orderBy("rank").select("record_id").collect()]))
         return planner.merge_round_robin(passes, limit)
+
+    def ask(self, question: str, agent: str = "anchor", limit: int = 10) -> DataFrame:
+        """(rank, id, record_id, tier, tier_name, score, content): the first of all nine tiers that has rows, by the question's
+        intent; rows the agent may not read are gone before any tier is tried."""
+        if not 1 <= limit <= 100:
+            raise ValueError("limit must be from 1 to 100")
+        wanted = intents.intent(question)
+        seen = self.readable(agent)
+        if wanted.roles:
+            seen = seen.filter(F.lower(F.trim("role")).isin(*wanted.roles))
+        asked = self.records.sparkSession.createDataFrame([intents.question_row("q", question)], lexical.QUESTION)
+        hits = lexical.full_cascade(seen, "id", "content", asked, limit)
+        return hits.join(seen.select(F.col("id").alias("key"), "record_id", "content"), "key").select("rank", F.col("key").alias("id"), "record_id", "tier", "tier_name", "score", "content")
+
+    def debug(self, question: str, groups: DataFrame, agent: str = "anchor", limit: int = 10) -> tuple[DataFrame, DataFrame]:
+        """recall() and, of its wider candidates, those that weren't selected with the reason. groups: (record_id, group_id)."""
+        pool = self.recall(question, agent, min(100, intents.inner_limit(limit) * 3))
+        top = pool.filter(F.col("rank") <= limit)
+        chosen = top.select("record_id", F.col("rank").alias("position")).groupBy("record_id").agg(F.min("position").alias("position"))
+        return top, packets.exclusions(pool, chosen, groups, "record_id")
+
+    def trace(self, question: str, agent: str = "anchor", limit: int = 20) -> DataFrame:
+        """(id, score, rank): where the wording of the first hits stands first, by their literal anchors."""
+        hits = self.recall(question, agent, intents.inner_limit(limit))
+        return lexical.original_trace(self.readable(agent), "id", "content", "created_at", lexical.trace_anchors(hits, "content"), limit)
+
+    def event_collection(self, question: str, agent: str = "anchor") -> DataFrame | None:
+        """The packet of a question for several occurrences; None for another question."""
+        wanted = intents.event_intent(question)
+        if wanted is None:
+            return None
+        return packets.event_collection(self.readable(agent), "record_id", "created_at", "content", [wanted.subject])
+
+    def guard(self, question: str, agent: str = "anchor") -> dict:
+        """Whether the question states a date after all that was imported."""
+        last = self.readable(agent).agg(F.max("created_at")).first()[0]
+        return intents.coverage_guard(question, last.date() if last is not None else None)
+
+    # Administration
+
+    def identity(self, agents: DataFrame) -> identity.Ledger:
+        """Writers of owners, scopes and grants; agents: (agent, state)."""
+        if self.events is None:
+            raise ValueError("the engine has no visibility events")
+        return identity.Ledger(self.events, self.records, agents, "record_id", self.anchor)
+
+    def audit(self, record: object, agents: DataFrame) -> DataFrame:
+        """(agent, via): who can read one record."""
+        if self.events is None:
+            raise ValueError("the engine has no visibility events")
+        return visibility.who_can_read(record, self.events, agents, self.anchor)
+
+    def rebuild_index(self, path: str) -> int:
+        return lexical.rebuild(self.records, "id", "content", path)
+
+    def check_index(self, path: str) -> DataFrame:
+        """One row: records of three characters or more without an index entry, and entries without a record."""
+        indexed = self.records.filter(F.length("content") >= 3)
+        return lexical.index_consistency(indexed, "id", self.records.sparkSession.read.parquet(path), "key")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.text import like_contains, phrase_contains, phrase_count
+from recallspark.session import small
 
 #: Rank orders, each ending with a total key. s: score, p: phase priority, t: time, n: content length, id: key.
 ORDERS = {
@@ -153,7 +154,7 @@ def cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int =
     small aggregate.
     """
     low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.col(key).alias("key"), low.alias("low")).crossJoin(F.broadcast(questions))
+    rows = docs.select(F.col(key).alias("key"), low.alias("low")).crossJoin(small(questions, 10_000))
     has = lambda t: F.contains(F.col("low"), F.lower(t))
     anchored = F.size("anchors") > 0
     score = F.size(F.filter("any_terms", has)) + F.size(F.filter("anchors", has))
@@ -166,7 +167,7 @@ def cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int =
     )
     hits = rows.select("question_id", "key", tier.alias("tier"), score.alias("score")).filter(F.col("tier").isNotNull())
     best = hits.groupBy("question_id").agg(F.min("tier").alias("tier"))
-    ranked = hits.join(F.broadcast(best), ["question_id", "tier"])
+    ranked = hits.join(best, ["question_id", "tier"])
     return top_k(ranked, [F.col("score").desc(), F.col("key").asc()], k, ["question_id"]).select("question_id", "key", "tier", "score", "rank")
 
 
@@ -252,7 +253,7 @@ def full_cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k:
     that what is broadcast stays bounded.
     """
     scans = max(1, -(-questions.count() // QUESTIONS_PER_SCAN))
-    # Filled evenly, unlike by a hash.
+    # The questions are the caller's own, a few strings each; they are dealt evenly to the scans.
     numbered = [(r, i % scans) for i, r in enumerate(questions.select([c.split()[0] for c in QUESTION.split(", ")]).orderBy("question_id").collect())]
     hits = None
     for scan in range(scans):
@@ -266,7 +267,6 @@ def full_cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k:
 
 def _tiers(docs: DataFrame, key: str, text: str, questions: DataFrame) -> DataFrame:
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("ascii"), F.lower(F.col(text)).alias("low"))
-    # What all questions ask is tested once per row before it meets each of them.
     asked = questions.select(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower).alias(c) if c in _LISTS else F.col(c) for c in questions.columns])
     rows = rows.crossJoin(F.broadcast(asked))
     term = lambda t: F.contains(F.col("ascii"), t)

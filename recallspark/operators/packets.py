@@ -114,9 +114,9 @@ def ordered_union(parts: Sequence[DataFrame], key: str, order: str) -> DataFrame
 def merge_passes(passes: DataFrame, key: str, limit: int) -> DataFrame:
     """(key, pass_no, rank, place): passes (pass_no, rank, key) merged by one unseen key of each pass in turn.
 
-    A key belongs to the pass where it comes up first in that order, by rank and then by pass; what is left of each pass
-    moves up, and the merged order is by the new rank and the pass. It equals a round-robin wherever no pass is emptied by
-    keys seen before; passes are bounded result lists."""
+    A key belongs to the pass that has it at its least rank, the first of equals; what is left of each pass moves up, and the
+    merged order is by the new rank and the pass. planner.merge_round_robin, which takes turns strictly, may give a key that
+    several passes have to another of them; the sets of keys are the same where limit takes all. Passes are bounded lists."""
     owned = passes.groupBy(key).agg(F.min(F.struct("rank", "pass_no")).alias("o")).select(key, "o.rank", "o.pass_no")
     moved = owned.withColumn("turn", F.row_number().over(Window.partitionBy("pass_no").orderBy("rank", key)))
     first = moved.orderBy("turn", "pass_no").limit(limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallspark.session import small
+
 
 def record_state(events: DataFrame, anchor: str = "anchor") -> DataFrame:
     """(record, owner, shared, epoch) of visibility events (event_seq, record, event_kind, target_agent, target_event_seq).
@@ -36,7 +38,7 @@ def channels(records: DataFrame, events: DataFrame, agents: DataFrame, anchor: s
     agents is the bounded list of active agents. Shared records are paired with every agent; ask for few agents.
     """
     state = records.select("record").distinct().join(record_state(events, anchor), "record", "left").select("record", F.coalesce("owner", F.lit(anchor)).alias("owner"), F.coalesce("shared", F.lit(False)).alias("shared"))
-    pairs = state.crossJoin(F.broadcast(agents.select("agent")))
+    pairs = state.crossJoin(small(agents.select("agent")))
     granted = live_grants(events).withColumn("granted", F.lit(True))
     seen = pairs.join(granted, ["record", "agent"], "left")
     channel = F.when(F.col("agent") == F.col("owner"), "owner").when(F.col("shared"), "scope_shared").when(F.col("granted"), "grant")

@@ -24,7 +24,7 @@ PREFERENCE_WORDS = ("favourite", "favorite", "prefer", "lieblings", "préfère",
 MEANING_WORDS = ("means", "meaning", "stands for", "bedeutet", "signifie", "significa", "意思", "含义", "代表", "象征")
 TOGETHER = ("we ", "us ", "wir ", "nous ", "nosotros ", "我们")
 NOT_YET = ("never", "nie ", "jamais", "nunca", "没吃", "没有吃", "没")
-ORIGIN = ("name come from", "why is it called", "warum heißt", "pourquoi s'appelle", "por qué se llama", "名字", "为什么叫")
+ORIGIN = ("name come from", "why is it called", " called that", "warum heißt", "pourquoi s'appelle", "por qué se llama", "名字", "为什么叫")
 COUNT = ("how many times", "how often", "wie oft", "combien de fois", "cuántas veces", "几次", "多少次", "几回", "多少回")
 INVENTORY = ("which names", "what names", "list all", "welche namen", "quels noms", "qué nombres", "哪些名字", "有哪些", "列出")
 RETELLING_WORDS = "later told again remembered 后来回忆 后来提起"

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as tx
-from recallspark.operators import claims, events, identity, lexical, packets, scoring
+from recallspark.operators import claims, collections, context, events, identity, lexical, packets, scoring
 from recallspark.plans import intents
 from recallspark.queries.reference import _EVENTS, _LC, _events, _records, query
 from recallspark.session import scratch_path, table
 from recallspark.sources import ledger, packages
+from recallspark.streaming import views
 
 
 def queries() -> dict:
@@ -222,9 +223,9 @@ def r_p16_subject_only(spark: SparkSession, d: str) -> DataFrame:
     return packets.subject_only(_records(spark, d), "content", "Lantern").select("id")
 
 
-@query(f"SELECT id FROM records_v1 WHERE {_any('content', packets.RETELLING)} AND {_any('content', ['ledger', 'laterne', 'escalera'])} AND imported_at >= TIMESTAMP '2024-03-01'")
+@query(f"SELECT id FROM records_v1 WHERE {_any('content', packets.RETELLING)} AND {_any('content', ['ledger', 'laterne', 'escalera'])} AND imported_at >= TIMESTAMP '2025-04-10'")
 def r_p17_later_retellings(spark: SparkSession, d: str) -> DataFrame:
-    end = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    end = F.lit("2025-04-10 00:00:00").cast("timestamp_ntz")
     return packets.retellings(_records(spark, d).withColumn("at", F.col("imported_at").cast("timestamp_ntz")), "content", "at", ["ledger", "Laterne", "escalera"], end).select("id")
 
 
@@ -465,3 +466,78 @@ def r_e18_import_ledger(spark: SparkSession, d: str) -> DataFrame:
 def r_j15_membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "records_v1_branch_memberships").select(F.col("record_rowid").alias("record_id"), "branch_id", "position")
     return packages.membership_conflicts(m.withColumn("position", F.col("position") + (F.col("record_id") % 9 == 0).cast("int")), m)
+
+
+# What older queries say less of, or can't fail on ------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT snapshot_id, unnest(json_extract(h, '$.turns[*]')) AS t FROM (SELECT snapshot_id, unnest(json_extract(threads, '$[*]')) AS h FROM codex_rollout_v1 WHERE json_valid(threads))), i AS (SELECT snapshot_id, unnest(json_extract(t, '$.items[*]')) AS i FROM t)
+SELECT snapshot_id, json_extract_string(i, '$.id') AS message_id, CASE json_extract_string(i, '$.type') WHEN 'userMessage' THEN 'user' ELSE 'assistant' END AS role,
+sha256(CASE json_extract_string(i, '$.type') WHEN 'userMessage' THEN coalesce(array_to_string(list_filter(list_transform(json_extract(i, '$.content[*]'), lambda p: json_extract_string(p, '$.text')), lambda s: s IS NOT NULL), chr(10)), '') ELSE coalesce(json_extract_string(i, '$.text'), '') END) AS said FROM i WHERE json_extract_string(i, '$.type') IN ('userMessage', 'agentMessage')""")
+def r_s07_rollout_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of the rollouts with a hash of its whole text."""
+    m = packages.rollout_messages(table(spark, d, "codex_rollout_v1"))
+    return m.select("snapshot_id", "message_id", "role", F.sha2(F.coalesce("content", F.lit("")), 256).alias("said"))
+
+
+@query("SELECT count(*) AS n_records, count(DISTINCT conversation_id) AS n_conversations, count(*) FILTER (WHERE verified) AS n_verified FROM records_v1")
+def r_g20_s10_preflight(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d).withColumn("branch_memberships", F.lit(None).cast("array<struct<branch_id:string,position:int>>"))
+    return packages.preflight(r).drop("n_errors")
+
+
+@query("SELECT id FROM records_v1 WHERE imported_at >= TIMESTAMP '2025-03-31 16:00:00' AND imported_at < TIMESTAMP '2025-04-30 16:00:00'")
+def r_n19_scoped_records(spark: SparkSession, d: str) -> DataFrame:
+    """'last month' asked in May 2025; most records lie outside."""
+    from datetime import datetime, timezone
+
+    from recallspark.plans.planner import calendar_scope
+
+    scope = calendar_scope("what happened last month", datetime(2025, 5, 10, tzinfo=timezone.utc))
+    low, high = (F.lit(x.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for x in (scope.start, scope.end))
+    return _records(spark, d).filter((F.col("imported_at") >= low) & (F.col("imported_at") < high)).select("id")
+
+
+@query("""WITH m AS (SELECT id, imported_at, verified, lower(trim(unnest(regexp_extract_all(content, '([A-Z]{3,6})-[0-9a-z]{8}', 1)))) AS name FROM records_v1), r AS (SELECT name, id::varchar AS k, row_number() OVER (PARTITION BY name ORDER BY id::varchar) AS n FROM (SELECT DISTINCT name, id FROM m))
+SELECT name, coalesce(bool_or(verified), false) AS confirmed, min(imported_at) AS first_at, max(imported_at) AS last_at, count(*) AS n, (SELECT string_agg(k, ',' ORDER BY k) FROM r WHERE r.name = m.name AND r.n <= 4) AS ids FROM m GROUP BY 1""")
+def r_g08_named_codes(spark: SparkSession, d: str) -> DataFrame:
+    m = _records(spark, d).select("id", "imported_at", "verified", F.explode(collections.extract_names(F.col("content"), "([A-Z]{3,6})-[0-9a-z]{8}")).alias("name"))
+    return collections.named_items(m, "name", "id", "imported_at", "verified")
+
+
+@query(f"""WITH m AS (SELECT DISTINCT record_rowid, branch_id, position FROM records_v1_branch_memberships WHERE position IS NOT NULL), j AS (SELECT m.record_rowid, m.branch_id, m.position, coalesce(contains({_LC}, 'bridge'), false) AS anchor, coalesce(contains({_LC}, 'bridge') AND (contains({_LC}, 'kept') OR contains({_LC}, 'said')), false) AND NOT coalesce(contains({_LC}, '?'), false) AS ev FROM m JOIN records_v1 r ON r.id = m.record_rowid)
+SELECT branch_id, hit, position, first_event FROM (SELECT h.branch_id, h.record_rowid AS hit, h.position, arg_min(n.record_rowid, (n.position, n.record_rowid)) FILTER (WHERE n.ev) AS first_event FROM j h JOIN j n ON n.branch_id = h.branch_id AND n.position BETWEEN h.position - 6 AND h.position + 4 WHERE h.anchor GROUP BY ALL) WHERE first_event IS NOT NULL""")
+def r_j03_x12_first_events(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "records_v1_branch_memberships").filter(F.col("position").isNotNull()).distinct()
+    rows, c = m.join(_records(spark, d).select(F.col("id").alias("record_rowid"), "content"), "record_rowid"), F.col("content")
+    return context.event_windows(rows, tx.like_contains(c, "bridge"), lexical.any_term(c, ["kept", "said"]), F.contains(c, F.lit("?"))).select("branch_id", "hit", "position", "first_event")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, view, mode: str, label: str) -> DataFrame:
+    """The result of a streaming view over rows that arrive in one micro-batch, as a table written in the shared folder."""
+    source, target, state = (scratch_path(spark, f"{label}-{part}") for part in ("in", "out", "state"))
+    rows.write.parquet(source)
+    stream = view(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
+    writer = stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}"))
+    writer.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).drop("batch")
+
+
+@query("SELECT agent_id, round(1 + 0.2 * coalesce(avg(toxicity_score), 0), 6) AS factor FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY id DESC) AS n FROM interaction_log WHERE agent_id IS NOT NULL) WHERE n <= 10 GROUP BY 1")
+def r_st06_streamed_factor(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "interaction_log").filter(F.col("agent_id").isNotNull()).select("agent_id", "id", "toxicity_score")
+    out = _streamed(spark, log, lambda s: views.rolling_factor(s, "agent_id", "id", "toxicity_score"), "update", "factor")
+    return out.select("agent_id", F.round("factor", 6).alias("factor"))
+
+
+@query(f"WITH {_EVENTS} SELECT record, owner, shared, epoch FROM st")
+def r_st05_streamed_states(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, _events(spark, d), views.record_states, "update", "states")
+
+
+@query("SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def r_st01_streamed_log(spark: SparkSession, d: str) -> DataFrame:
+    """Rows kept of each user's events that arrive twice."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    out = _streamed(spark, e.unionByName(e), lambda s: views.append_once(s, "event_id", "ts", "3650 days"), "append", "log")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings for tests and local runs. On a cluster the submitted configuration wins.
 LOCAL_CONF = {
@@ -66,6 +67,12 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, which is counted; else as it is, and the join's strategy is left to
+    the optimiser. For narrow tables."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that no later plan reads. Only paths under this application's scratch folder are taken."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
