@@ -88,7 +88,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_redacted, p7_found, p7_dropped, p7_reply_links, p7_link_trees, p8_containers, p8_mixture, p9_found, p10_found, p10_pieces)}
 
 
+_WORDS = r"trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_BLANK = r"'[\s\x{3000}\x{a0}\x{85}\x{1c}-\x{1f}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}]*'"
 _SQL = {
+    "p2_found": rf"""WITH r AS (SELECT id, content, {_WORDS.format("content")} AS w FROM records_v1 WHERE id IS NOT NULL AND content IS NOT NULL AND NOT regexp_full_match(content, {_BLANK})),
+o AS (SELECT id, content FROM r WHERE regexp_matches(content, '^\s*\{{') AND json_valid(content)),
+j AS (SELECT o.id, replace(replace(regexp_replace(lower(t.fullkey), '[^\p{{L}}\p{{N}}.\[\]]+', ' ', 'g'), ' .', '.'), '. ', '.') || '=' || CASE t.type WHEN 'OBJECT' THEN chr(3) || 'o' WHEN 'ARRAY' THEN chr(3) || 'a' WHEN 'NULL' THEN 'null' ELSE {_WORDS.format("json_extract_string(t.value, '$')")} END AS pair FROM o, json_tree(o.content) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::varchar IN ('{{}}', '[]')),
+p AS (SELECT id, list_filter(string_split_regex(content, '[;\r\n]+'), lambda x: NOT regexp_full_match(x, {_BLANK})) AS parts FROM r WHERE NOT regexp_matches(content, '^\s*\{{') AND regexp_matches(content, '[:=]') AND regexp_matches(content, '[;\r\n]')),
+l AS (SELECT id, list_sort(list_transform(parts, lambda x: {_WORDS.format("regexp_extract(x, '^([^:=]+)[:=]', 1)")} || chr(1) || {_WORDS.format("regexp_replace(x, '^[^:=]+[:=]', '')")})) AS pairs FROM p WHERE len(parts) >= 3 AND len(list_filter(parts, lambda x: regexp_matches(regexp_extract(x, '^([^:=]*)[:=]', 1), '[\p{{L}}\p{{N}}]'))) = len(parts)),
+k AS (SELECT id, 'w' AS kind, w AS key FROM r UNION ALL SELECT id, 'j', string_agg(pair, chr(2) ORDER BY pair) FROM j GROUP BY id UNION ALL SELECT id, 'l', array_to_string(pairs, chr(2)) FROM l),
+f AS (SELECT id, min(id) OVER (PARTITION BY kind, key) AS first FROM k)
+SELECT min(first)::bigint AS first_id, id::bigint AS dup_id FROM f GROUP BY id HAVING min(first) < id""",
     "p7_found": r"""WITH m AS (SELECT DISTINCT record_rowid, branch_id, position FROM records_v1_branch_memberships),
 r AS (SELECT id, conversation_id, lower(trim(role)) AS role, coalesce(regexp_full_match(content, '[\s\x{3000}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}]*'), true) AS blank FROM records_v1),
 j AS (SELECT conversation_id, branch_id, position, record_rowid, CASE WHEN role IN ('user','assistant') AND NOT blank THEN role END AS turn FROM m JOIN r ON r.id = m.record_rowid),
