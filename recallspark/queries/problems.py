@@ -59,5 +59,29 @@ SELECT n.tree AS conversation_id, n.node AS branch_id, coalesce(r.depth, -1)::in
 }
 
 
+def _instants_sql() -> str:
+    """p6_found in SQL. It shares the list of written forms with the operator; the civil time, offsets, zones and their policies are
+    worked out by the other engine."""
+    forms = []
+    for form in timestamps.FORMS:
+        fits = f"regexp_matches(raw, '{form.pattern}')" + (f" AND ord = '{form.order}'" if form.order else "")
+        forms.append(f"WHEN {fits} THEN regexp_replace(raw, '{form.pattern}', '{form.template.replace('$', chr(92))}')")
+    return rf"""WITH s AS (SELECT source_kind, min(zone_name) AS zone, min(upper(date_order)) AS ord FROM source_profiles GROUP BY 1),
+v AS (SELECT 'records_v1' AS src, id AS row_id, 'created_at' AS field, created_at AS t, zone, ord FROM records_v1 LEFT JOIN s USING (source_kind) UNION ALL SELECT 'records_v1', id, 'source_cutoff_at', source_cutoff_at, zone, ord FROM records_v1 LEFT JOIN s USING (source_kind)
+ UNION ALL SELECT 'guijian_message', message_key, 'created_at', created_at, room_zone, NULL FROM guijian_message),
+r AS (SELECT src, row_id, field, zone, ord AS given, regexp_replace(translate(t, '０１２３４５６７８９：／－．', '0123456789:/-.'), '^[\s\x{{3000}}\x{{a0}}]+|[\s\x{{3000}}\x{{a0}}]+$', '', 'g') AS raw FROM v WHERE t IS NOT NULL AND NOT regexp_matches(t, '{timestamps.NORMAL_FORM}')),
+o AS (SELECT *, CASE WHEN given IN ('DMY', 'MDY') THEN given WHEN TRY_CAST(regexp_extract(raw, '^(\d{{1,2}})/\d{{1,2}}/\d{{4}}', 1) AS int) > 12 THEN 'DMY' WHEN TRY_CAST(regexp_extract(raw, '^\d{{1,2}}/(\d{{1,2}})/\d{{4}}', 1) AS int) > 12 THEN 'MDY' END AS ord FROM r),
+f AS (SELECT *, string_split(CASE {" ".join(forms)} END, '|') AS p FROM o),
+g AS (SELECT *, TRY_CAST(p[1] AS int) AS y, CASE WHEN regexp_full_match(p[2], '\d+') THEN TRY_CAST(p[2] AS int) WHEN strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substring(p[2], 1, 3))) % 3 = 1 THEN (strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substring(p[2], 1, 3))) + 2) // 3 END AS mo, TRY_CAST(p[3] AS int) AS d,
+ TRY_CAST(coalesce(nullif(p[4], ''), '0') AS int) AS h0, lower(nullif(p[8], '')) AS mer, TRY_CAST(coalesce(nullif(p[5], ''), '0') AS int) AS mi, TRY_CAST(coalesce(nullif(p[6], ''), '0') AS int) AS sec, TRY_CAST(rpad(substring(p[7], 1, 6), 6, '0') AS int) AS frac, nullif(p[9], '') AS off, nullif(p[10], '') AS zn FROM f),
+h AS (SELECT *, CASE WHEN mer IS NULL THEN h0 WHEN h0 > 12 AND mer IN ('a', 'p') THEN NULL WHEN h0 > 12 THEN h0 WHEN mer IN ('p', '下午') THEN h0 % 12 + 12 ELSE h0 % 12 END AS hh, regexp_extract(off, '(?i)^(?:UTC|GMT)?([+-])(\d{{1,2}}):?(\d{{2}})?$', ['sign', 'hours', 'minutes']) AS o3, coalesce(zn, zone) AS lz FROM g),
+c AS (SELECT *, TRY_CAST(nullif(o3.hours, '') AS int) * 60 + coalesce(TRY_CAST(nullif(o3.minutes, '') AS int), 0) AS away, CASE WHEN hh < 24 AND sec < 60 AND mi < 60 THEN TRY(make_timestamp(y::bigint, mo::bigint, d::bigint, hh::bigint, mi::bigint, sec::double)) END AS wall FROM h),
+i AS (SELECT *, CASE WHEN off IS NULL AND regexp_full_match(lz, 'UTC|GMT|Z|[A-Za-z]+(/[A-Za-z0-9_+\-]+)+') THEN TRY(wall AT TIME ZONE lz) END AS inst, TRY_CAST(CASE WHEN regexp_full_match(raw, '\d{{1,17}}(\.\d+)?') THEN regexp_replace(raw, '^(\d+(?:\.\d{{1,9}})?)\d*$', '\1') END AS DECIMAL(28,9)) AS n FROM c),
+e AS (SELECT src, row_id, field, CASE WHEN regexp_full_match(raw, '\d+(\.\d+)?') THEN CASE WHEN n >= 946684800 AND n < 4133980800 THEN floor(n * 1000000)::bigint WHEN n >= 946684800000 AND n < 4133980800000 THEN floor(n * 1000)::bigint WHEN n >= 946684800000000 AND n < 4133980800000000 THEN floor(n)::bigint END
+ WHEN upper(off) IN ('Z', 'UTC', 'GMT') THEN epoch_us(wall) + frac WHEN off IS NOT NULL THEN CASE WHEN away <= 1080 THEN epoch_us(wall) + frac - CASE o3.sign WHEN '-' THEN -1 ELSE 1 END * away::bigint * 60000000 END
+ WHEN ((inst - INTERVAL 2 HOUR) AT TIME ZONE lz) = wall THEN epoch_us(inst - INTERVAL 2 HOUR) + frac WHEN ((inst - INTERVAL 1 HOUR) AT TIME ZONE lz) = wall THEN epoch_us(inst - INTERVAL 1 HOUR) + frac WHEN ((inst - INTERVAL 30 MINUTE) AT TIME ZONE lz) = wall THEN epoch_us(inst - INTERVAL 30 MINUTE) + frac ELSE epoch_us(inst) + frac END AS utc_micros FROM i)
+SELECT src, row_id, field, utc_micros::bigint AS utc_micros FROM e WHERE utc_micros IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"p6_found": _instants_sql()}
