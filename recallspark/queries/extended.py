@@ -10,7 +10,7 @@ from recallspark.operators import claims, collections, context, events, identity
 from recallspark.plans import intents
 from recallspark.queries.reference import _EVENTS, _LC, _events, _records, query
 from recallspark.session import scratch_path, table
-from recallspark.sources import ledger, packages
+from recallspark.sources import exports, ledger, packages
 from recallspark.streaming import views
 
 
@@ -541,3 +541,17 @@ def r_st01_streamed_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     out = _streamed(spark, e.unionByName(e), lambda s: views.append_once(s, "event_id", "ts", "3650 days"), "append", "log")
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT backup_id, m.conversationId AS cid, m.sourceMessageId AS mid, m.parentSourceMessageId AS parent FROM (SELECT backup_id, unnest(data.messages) AS m FROM room_ferry_backup_v1) WHERE m IS NOT NULL),
+c AS (SELECT backup_id, c.id AS cid, c.currentLeafSourceMessageId AS leaf FROM (SELECT backup_id, unnest(data.conversations) AS c FROM room_ferry_backup_v1) WHERE c IS NOT NULL),
+n AS (SELECT backup_id, cid, mid, min(parent) AS parent FROM m WHERE mid IS NOT NULL GROUP BY ALL),
+t AS (SELECT n.*, 0 AS depth FROM n LEFT JOIN n p ON p.backup_id = n.backup_id AND p.cid = n.cid AND p.mid = n.parent WHERE p.mid IS NULL UNION ALL SELECT n.*, t.depth + 1 FROM n JOIN t ON t.backup_id = n.backup_id AND t.cid = n.cid AND t.mid = n.parent)
+SELECT backup_id, cid AS conversation_id, problem, count(*) AS n FROM (
+SELECT m.backup_id, m.cid, 'unlisted_conversation' AS problem FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.backup_id = m.backup_id AND c.cid = m.cid)
+UNION ALL SELECT backup_id, cid, 'repeated_message' FROM (SELECT backup_id, cid, row_number() OVER (PARTITION BY backup_id, cid, mid) AS k FROM m WHERE mid IS NOT NULL) WHERE k > 1
+UNION ALL SELECT backup_id, cid, 'missing_parent' FROM t WHERE depth = 0 AND parent IS NOT NULL
+UNION ALL SELECT backup_id, cid, 'endless_chain' FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.backup_id = n.backup_id AND t.cid = n.cid AND t.mid = n.mid)
+UNION ALL SELECT backup_id, cid, 'unknown_leaf' FROM c WHERE leaf IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.backup_id = c.backup_id AND n.cid = c.cid AND n.mid = c.leaf)) GROUP BY ALL""")
+def r_s05_backup_problems(spark: SparkSession, d: str) -> DataFrame:
+    return exports.backup_problems(table(spark, d, "room_ferry_backup_v1"))
