@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.plans.skew import numbered
+
 
 def canonical_id(prefix: str, *parts: Column) -> Column:
     """prefix and 24 hex digits of the SHA-256 of the parts as a compact JSON array."""
@@ -24,10 +26,15 @@ def sequence_hash(df: DataFrame, by: list[str], order: str, value: str, out: str
 
 
 def versions(statements: DataFrame, claim: list[str], order: list[str]) -> DataFrame:
-    """statements with version from 1 and status: the last version of a claim is active, the ones before superseded."""
-    up = Window.partitionBy(*claim).orderBy(*order)
-    down = Window.partitionBy(*claim).orderBy(*[F.col(c).desc() for c in order])
-    return statements.withColumn("version", F.row_number().over(up)).withColumn("status", F.when(F.row_number().over(down) == 1, "active").otherwise("superseded"))
+    """statements with version from 1 and status: the last version of a claim is active, the ones before superseded.
+
+    A claim with very many statements is numbered in parts; its last version is found by an aggregation."""
+    placed = numbered(statements, claim, order, "version")
+    last = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in claim]).agg(F.max("version").alias("_last"))
+    same = F.lit(True)
+    for c in claim:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.join(last, same).withColumn("status", F.when(F.col("version") == F.col("_last"), "active").otherwise("superseded")).select(*placed.columns, "status")
 
 
 def changed_only(statements: DataFrame, claim: list[str], order: list[str], value: str) -> DataFrame:

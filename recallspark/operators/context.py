@@ -46,11 +46,28 @@ def nearest_final(rows: DataFrame, reach: int = 4) -> DataFrame:
 
 
 def first_last(rows: DataFrame, per: list[str], order: list[str], first: int = 6, last: int = 6, keep: Column | None = None) -> DataFrame:
-    """The first and last rows of each group in order, and all rows that keep marks."""
+    """The first and last rows of each group in order, and all rows that keep marks.
+
+    Each end is a limit of its own, which is pushed below its sort, so that no task holds more of a group than its ends; the
+    group's size, counted map-side, keeps a row that lies at both ends from coming twice. order is total within a group."""
     up = Window.partitionBy(*per).orderBy(*[F.col(c).asc() for c in order])
     down = Window.partitionBy(*per).orderBy(*[F.col(c).desc() for c in order])
-    ranked = rows.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-    return ranked.filter((F.col("_up") <= first) | (F.col("_down") <= last) | (keep if keep is not None else F.lit(False))).drop("_up", "_down")
+    marked = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
+    sizes = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in per]).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for c in per:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    head = rows.withColumn("_k", F.row_number().over(up)).filter(F.col("_k") <= first)
+    tail = rows.withColumn("_k", F.row_number().over(down)).filter(F.col("_k") <= last).join(sizes, same).filter(F.col("_k") <= F.col("_n") - first)
+    ends = head.select(*rows.columns).unionByName(tail.select(*rows.columns))
+    if keep is None:
+        return ends
+    # What lies between the ends and is marked: those marked that aren't among the ends.
+    here = ends.select(*[F.col(c).alias(f"_{c}") for c in dict.fromkeys([*per, *order])]).distinct()
+    equal = F.lit(True)
+    for c in dict.fromkeys([*per, *order]):
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ends.unionByName(rows.filter(marked).join(here, equal, "left_anti"))
 
 
 def time_ladder(rows: DataFrame, per: list[str], order: list[str], stamp: str, observed: str) -> DataFrame:

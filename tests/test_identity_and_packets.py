@@ -237,3 +237,25 @@ def test_engine_asks(spark, tmp_path):
     assert engine.trace('"glass bridge"').count() >= 0
     with pytest.raises(ValueError):
         engine.identity(records)
+
+
+def test_numbering_in_parts(spark):
+    from recallspark.plans.skew import numbered
+
+    rows = [("hot", 997 * i % 1000) for i in range(1000)] + [(None, 3), (None, 1), ("c", 5)]
+    df = spark.createDataFrame(rows, "g string, o int")
+    one, parts = (_rows(numbered(df, ["g"], ["o"], "n", floor)) for floor in (5000, 10))
+    assert one == parts and len(one) == 1003
+    assert numbered(df.limit(0), ["g"], ["o"], "n").count() == 0
+    versions = claims.versions(df, ["g"], ["o"])
+    assert {(r.g, r.o) for r in versions.filter("status = 'active'").collect()} == {("hot", 999), (None, 3), ("c", 5)}
+
+
+def test_first_and_last_rows(spark):
+    from recallspark.operators import context
+
+    rows = [("a", i, i == 9) for i in range(20)] + [(None, i, True) for i in range(3)] + [("b", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o int, k boolean")
+    ends = _rows(context.first_last(df, ["g"], ["o"], 2, 2).select("g", "o"))
+    assert ends == sorted([("a", 0), ("a", 1), ("a", 18), ("a", 19), ("b", 1), (None, 0), (None, 1), (None, 2)], key=str)
+    assert ("a", 9) in _rows(context.first_last(df, ["g"], ["o"], 2, 2, F.col("k")).select("g", "o")) and context.first_last(df, ["g"], ["o"], 2, 2, F.col("k")).count() == 9
