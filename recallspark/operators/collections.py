@@ -117,3 +117,22 @@ def stands_near(text: Column, name: Column, marker: str, reach: int = 32) -> Col
     quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit("\\E"))
     pattern = F.concat(F.lit("(?is)"), quoted, F.lit(f".{{0,{reach}}}(?:{marker})|(?:{marker}).{{0,{reach}}}"), quoted)
     return F.coalesce(F.regexp_like(text, pattern), F.lit(False))
+
+
+def occurrence_groups(rows: DataFrame, key: str, at: str, zone: str = "Asia/Shanghai", groups: int = 12, ids: int = 24) -> DataFrame:
+    """(day, n, ids, place): the first `groups` occurrence days in the order they were first seen, with their first `ids` keys,
+    comma-joined. n counts all rows of a day; rows without a time are days of their own, last."""
+    day = F.coalesce(F.date_format(F.from_utc_timestamp(F.col(at).cast("timestamp"), zone), "yyyy-MM-dd"), F.concat(F.lit("record:"), F.col(key).cast("string")))
+    each = rows.select(day.alias("day"), F.col(at).alias("at"), F.col(key).alias("k"))
+    order = [F.col("first").asc_nulls_last(), F.col("first_key").asc()]
+    days = each.groupBy("day").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min("k").alias("first_key")).orderBy(*order).limit(groups)
+    # Only the keys that are told are gathered: a limit per day, then at most ids of them.
+    told = each.join(days.select("day"), "day", "left_semi").withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("k"))).filter(F.col("i") <= ids)
+    named = told.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda x: x["k"].cast("string")), ",").alias("ids"))
+    return days.join(named, "day").withColumn("place", F.row_number().over(Window.orderBy(*order))).select("day", "n", "ids", "place")
+
+
+def provenance_packet(rows: DataFrame, by: Sequence[str], key: str, conversation: str, groups: DataFrame) -> DataFrame:
+    """source_summary with n_mirrored, the rows of each source that are in a mirror group (key, group_id)."""
+    marked = rows.join(groups.select(F.col("key").alias(key)).distinct().withColumn("_mirror", F.lit(1)), key, "left")
+    return marked.groupBy(*by).agg(F.count("*").alias("n_records"), F.count_distinct(key).alias("n_ids"), F.count_distinct(conversation).alias("n_conversations"), F.count("_mirror").alias("n_mirrored"))

@@ -96,3 +96,10 @@ def event_windows(rows: DataFrame, anchor: Column, participation: Column, exclud
     flags = judged.select(F.col("record_rowid").alias("near"), "branch_id", F.col("position").alias("near_position"), "event")
     each = near.join(flags, ["near", "branch_id", "near_position"]).groupBy("branch_id", "hit", "position").agg(F.count("*").alias("n_rows"), F.sum(F.col("event").cast("bigint")).alias("n_event_rows"), F.min(F.when(F.col("event"), F.struct("near_position", "near"))).alias("first"))
     return each.filter(F.col("n_event_rows") > 0).select("branch_id", "hit", "position", "n_rows", "n_event_rows", F.col("first.near").alias("first_event"))
+
+
+def capped(near: DataFrame, cap: int, per: tuple[str, ...] = ("branch_id", "position", "hit")) -> DataFrame:
+    """window_join rows with place, of each hit the `cap` nearest ones: by distance, the earlier side first, then by key. The cap is
+    the context that a hit is shown with; the window itself stays whole."""
+    order = [F.abs(F.col("near_position") - F.col("position")).asc(), F.col("near_position").asc(), F.col("near").asc()]
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("place") <= cap)

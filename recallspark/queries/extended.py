@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as tx
-from recallspark.operators import claims, collections, context, events, identity, lexical, packets, scoring
+from recallspark.operators import claims, collections, context, events, identity, lexical, packets, regression, scoring
 from recallspark.plans import intents
 from recallspark.queries.reference import _EVENTS, _LC, _events, _records, query
 from recallspark.session import scratch_path, table
-from recallspark.sources import exports, ledger, packages
+from recallspark.sources import captures, exports, ledger, packages
 from recallspark.streaming import views
 
 
@@ -555,3 +555,46 @@ UNION ALL SELECT backup_id, cid, 'endless_chain' FROM n WHERE NOT EXISTS (SELECT
 UNION ALL SELECT backup_id, cid, 'unknown_leaf' FROM c WHERE leaf IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.backup_id = c.backup_id AND n.cid = c.cid AND n.mid = c.leaf)) GROUP BY ALL""")
 def r_s05_backup_problems(spark: SparkSession, d: str) -> DataFrame:
     return exports.backup_problems(table(spark, d, "room_ferry_backup_v1"))
+
+
+@query(f"""WITH m AS (SELECT DISTINCT record_rowid, branch_id, position FROM records_v1_branch_memberships WHERE position IS NOT NULL), j AS (SELECT DISTINCT h.branch_id, h.position, h.record_rowid AS hit, n.record_rowid AS near, n.position AS near_position FROM m h JOIN records_v1 r ON r.id = h.record_rowid AND contains({_LC}, 'ledger') JOIN m n ON n.branch_id = h.branch_id AND n.position BETWEEN h.position - 2 AND h.position + 4 AND n.record_rowid <> h.record_rowid)
+SELECT branch_id, position, hit, near, near_position, place FROM (SELECT *, row_number() OVER (PARTITION BY branch_id, position, hit ORDER BY abs(near_position - position), near_position, near) AS place FROM j) WHERE place <= 4""")
+def r_w02_capped_context(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "records_v1_branch_memberships").distinct()
+    hit = _records(spark, d).filter(tx.like_contains(F.col("content"), "ledger")).select(F.col("id").alias("record_rowid"))
+    return context.capped(context.window_join(m.join(hit, "record_rowid"), m, 2, 4), 4).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("""WITH e AS (SELECT coalesce(strftime(logged_at + INTERVAL 8 HOUR, '%Y-%m-%d'), 'record:' || id) AS day, id, logged_at FROM interaction_log), g AS (SELECT day, count(*) AS n, min(logged_at) AS first, min(id) AS k FROM e GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY first NULLS LAST, k) AS place FROM g),
+i AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY id) AS i FROM e) SELECT p.day, p.n, (SELECT string_agg(id::varchar, ',' ORDER BY i) FROM i WHERE i.day = p.day AND i <= 24) AS ids, place FROM p WHERE place <= 12""")
+def r_g07_occurrence_groups(spark: SparkSession, d: str) -> DataFrame:
+    return collections.occurrence_groups(table(spark, d, "interaction_log"), "id", "logged_at").withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("SELECT source_kind, authority, count(*) AS n_records, count(DISTINCT r.id) AS n_ids, count(DISTINCT conversation_id) AS n_conversations, count(g.key) AS n_mirrored FROM records_v1 r LEFT JOIN (SELECT id AS key FROM records_v1 WHERE content_sha256 IN (SELECT content_sha256 FROM records_v1 GROUP BY 1 HAVING count(*) > 1)) g ON g.key = r.id GROUP BY 1, 2")
+def r_m04_provenance_packet(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d)
+    groups = claims.duplicate_hashes(r, "content_sha256").select(F.col("content_sha256").alias("group_id")).join(r.select(F.col("content_sha256").alias("group_id"), F.col("id").alias("key")), "group_id")
+    return collections.provenance_packet(r, ["source_kind", "authority"], "id", "conversation_id", groups)
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' END AS status, list_filter([CASE WHEN contains(text, 'bad') THEN 'bad' END, CASE WHEN contains(text, 'late') THEN 'late' END], lambda x: x IS NOT NULL) AS families, [source] AS layers FROM documents)
+SELECT counter, name, count(*) AS n FROM (SELECT 'status' AS counter, coalesce(status, 'open') AS name FROM c UNION ALL SELECT 'family', unnest(families) FROM c UNION ALL SELECT 'layer', unnest(layers) FROM c) GROUP BY 1, 2""")
+def r_g11_case_report(spark: SparkSession, d: str) -> DataFrame:
+    text, i = F.col("text"), F.col("doc_id") % 3
+    found = F.filter(F.array(*[F.when(F.contains(text, F.lit(w)), w) for w in ("bad", "late")]), lambda x: x.isNotNull())
+    cards = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("case_id"), F.when(i == 0, "open").when(i == 1, "fixed").alias("status"), found.alias("families"), F.array("source").alias("layers"))
+    return regression.report(cards)
+
+
+@query("""WITH g AS (SELECT snapshot_id, message_index + (message_key % 11 = 0)::int AS message_index, CASE WHEN message_key % 29 > 0 THEN content_hash END AS content_hash FROM guijian_message), s AS (SELECT snapshot_id, message_index AS p, count(DISTINCT content_hash) AS c, count(*) FILTER (WHERE content_hash IS NULL) AS bare FROM g GROUP BY 1, 2), w AS (SELECT snapshot_id, sum(bare) AS bare, max(c) AS c, count(p) AS n, min(p) AS low, max(p) AS high FROM s GROUP BY 1)
+SELECT snapshot_id, 'no_hash' AS problem FROM w WHERE bare > 0 UNION ALL SELECT snapshot_id, 'gap' FROM w WHERE high - low + 1 > n UNION ALL SELECT snapshot_id, 'clash' FROM w WHERE c > 1""")
+def r_s08_capture_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Captures with some places moved and some hashes left out, as those of the table are complete."""
+    g, k = table(spark, d, "guijian_message"), F.col("message_key")
+    return captures.attested(g.withColumns({"message_index": F.col("message_index") + (k % 11 == 0).cast("int"), "content_hash": F.when(k % 29 > 0, F.col("content_hash"))}), "snapshot_id", "message_index", "content_hash")
+
+
+@query()
+def r_u08_dominant_segments(spark: SparkSession, d: str) -> DataFrame:
+    return captures.dominant_segment(table(spark, d, "guijian_message"), "snapshot_id", "segment_index", "message_index", "content_hash")

@@ -58,3 +58,36 @@ def message_times(messages: DataFrame) -> DataFrame:
     null as observed."""
     timed = messages.select("message_key", "snapshot_id", "message_index", timestamps.utc_micros(F.col("created_at"), F.col("room_zone")).alias("own"), F.lit(None).cast("bigint").alias("observed"))
     return time_ladder(timed, ["snapshot_id"], ["message_index", "message_key"], "own", "observed").select("message_key", F.col("at").alias("utc_micros"), "basis")
+
+
+def dominant_segment(messages: DataFrame, capture: str, segment: str, place: str, content_hash: str) -> DataFrame:
+    """(capture, segment): the segment that holds all others of its capture in their order, -1 where none does or several longest
+    ones differ. Rows without a hash don't count.
+
+    A capture is one export; its segments' hashes are compared in one group per capture."""
+    kind = dict(messages.dtypes)[capture]
+
+    def within(needle: list, held: list) -> bool:
+        at = iter(held)
+        return all(value in at for value in needle)
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = {s: part.sort_values(["p", "h"])["h"].tolist() for s, part in rows.groupby("s")}
+        whole = {s: run for s, run in runs.items() if all(within(other, run) for other in runs.values())}
+        most = max(map(len, whole.values()), default=0)
+        longest = sorted(s for s, run in whole.items() if len(run) == most)
+        agreed = longest and all(whole[s] == whole[longest[0]] for s in longest)
+        return pd.DataFrame({capture: rows[capture].iloc[:1], "segment": [int(longest[0]) if agreed else -1]})
+
+    rows = messages.filter(F.col(content_hash).isNotNull() & F.col(segment).isNotNull()).select(capture, F.col(segment).cast("int").alias("s"), F.col(place).alias("p"), F.col(content_hash).alias("h"))
+    return rows.groupBy(capture).applyInPandas(pick, f"{capture} {kind}, segment int")
+
+
+def attested(messages: DataFrame, capture: str, place: str, content_hash: str) -> DataFrame:
+    """(capture, problem): captures that can't be taken as complete: no_hash (a message without one), gap (places aren't
+    consecutive), clash (two contents at one place)."""
+    spots = messages.groupBy(capture, place).agg(F.count_distinct(content_hash).alias("contents"), F.count_if(F.col(content_hash).isNull()).alias("bare"))
+    whole = spots.groupBy(capture).agg(F.sum("bare").alias("bare"), F.max("contents").alias("contents"), F.count(place).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    tests = {"no_hash": F.col("bare") > 0, "gap": F.col("high") - F.col("low") + 1 > F.col("n"), "clash": F.col("contents") > 1}
+    found = F.filter(F.array(*[F.when(test, name) for name, test in tests.items()]), lambda x: x.isNotNull())
+    return whole.select(capture, F.explode(found).alias("problem"))

@@ -40,3 +40,20 @@ def test_zip_messages(spark, tmp_path):
     }
     broken = spark.createDataFrame([("a", "s", "{damaged"), ("a", "t", None)], "archive string, shard string, conversations string")
     assert exports.zip_messages(broken).count() == 0
+
+
+def test_dominant_segment_and_cards(spark, tmp_path):
+    from recallspark.operators import collections, regression
+    from recallspark.sources import captures
+
+    runs = {("a", 0): "abcd", ("a", 1): "bd", ("b", 0): "ab", ("b", 1): "ba", ("c", 0): "xy", ("c", 1): "xy", ("d", 0): "p"}
+    rows = [(c, s, i, h) for (c, s), run in runs.items() for i, h in enumerate(run)] + [("e", 0, 0, None)]
+    df = spark.createDataFrame(rows, "cap string, seg int, p int, h string")
+    assert {(r.cap, r.segment) for r in captures.dominant_segment(df, "cap", "seg", "p", "h").collect()} == {("a", 0), ("b", -1), ("c", 0), ("d", 0)}
+    assert ("e", "no_hash") in {tuple(r) for r in captures.attested(df, "cap", "p", "h").collect()}
+    cards = spark.createDataFrame([("1", "open", ["x", "x"], None), ("1", "open", ["x", "x"], None), ("2", None, [], ["l"])], "case_id string, status string, families array<string>, layers array<string>")
+    path = str(tmp_path / "cards")
+    assert regression.write_cards(cards, path) == 2 and regression.write_cards(cards, path) == 0 and regression.write_cards(regression.review(cards, "1", "fixed"), path) == 1
+    assert {tuple(r) for r in regression.report(cards).collect()} == {("status", "open", 3), ("family", "x", 2), ("layer", "l", 1)}
+    log = spark.createDataFrame([(1, None), (2, None)], "id int, at timestamp")
+    assert {r.day for r in collections.occurrence_groups(log, "id", "at").collect()} == {"record:1", "record:2"}
