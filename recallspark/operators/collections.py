@@ -76,7 +76,8 @@ LABELS = {
 
 def labels(text: Column, rules: dict[str, str] = LABELS) -> Column:
     """Comma-joined labels in fixed order; 'direct' where none fits."""
-    found = F.filter(F.array(*[F.when(text.rlike(rule), name) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    # Without u only ASCII letters lose their case.
+    found = F.filter(F.array(*[F.when(text.rlike(rule.replace("(?i)", "(?iu)")), name) for name, rule in rules.items()]), lambda x: x.isNotNull())
     return F.when(F.size(found) == 0, "direct").otherwise(F.array_join(found, ","))
 
 

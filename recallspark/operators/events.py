@@ -22,14 +22,15 @@ PARTICIPATION = ("together", "we both", "with me", "zusammen", "ensemble", "junt
 
 def exclusion(text: Column, rules: dict[str, str] = EXCLUSIONS) -> Column:
     """The first reason that fits, or null."""
-    return F.coalesce(*[F.when(text.rlike(rule), name) for name, rule in rules.items()])
+    # Without u only ASCII letters lose their case.
+    return F.coalesce(*[F.when(text.rlike(rule.replace("(?i)", "(?iu)")), name) for name, rule in rules.items()])
 
 
 def exclusion_near(text: Column, event: str, reach: int = 24, rules: dict[str, str] = EXCLUSIONS) -> Column:
     """The first reason that stands within `reach` characters of the event (a pattern), on either side and in one sentence,
     or null: a denial elsewhere in a long text says nothing of the event."""
     gap = rf"[^.!?。！？]{{0,{reach}}}?"
-    return F.coalesce(*[F.when(text.rlike(rf"(?i)(?:{rule}){gap}(?:{event})|(?:{event}){gap}(?:{rule})"), name) for name, rule in rules.items()])
+    return F.coalesce(*[F.when(text.rlike(rf"(?iu)(?:{rule}){gap}(?:{event})|(?:{event}){gap}(?:{rule})"), name) for name, rule in rules.items()])
 
 
 def participation(text: Column, markers: tuple[str, ...] = PARTICIPATION) -> Column:

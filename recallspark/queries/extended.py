@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from recallspark.functions import text as tx
 from recallspark.operators import claims, collections, context, events, identity, lexical, packets, regression, scoring
 from recallspark.plans import intents
-from recallspark.queries.reference import _EVENTS, _LC, _events, _records, query
+from recallspark.queries.problems import instants_sql
+from recallspark.queries.reference import _EVENTS, _LC, _SQL, _events, _records, query
 from recallspark.session import scratch_path, table
 from recallspark.sources import captures, exports, ledger, packages
 from recallspark.streaming import views
@@ -598,3 +599,24 @@ def r_s08_capture_problems(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_u08_dominant_segments(spark: SparkSession, d: str) -> DataFrame:
     return captures.dominant_segment(table(spark, d, "guijian_message"), "snapshot_id", "segment_index", "message_index", "content_hash")
+
+
+# SQL of queries that stand elsewhere ---------------------------------------------------------------------------------------------------
+
+_AT = f"x AS ({instants_sql(every=True)})"
+_CUT = f"{_AT}, c AS (SELECT r.*, x.utc_micros AS cut, epoch_us(imported_at) AS seen FROM records_v1 r LEFT JOIN x ON x.src = 'records_v1' AND x.row_id = r.id AND x.field = 'source_cutoff_at')"
+_SQL["r_g01_coverage_instants"] = f"""WITH {_CUT}, a AS (SELECT max(CASE WHEN verified AND source_kind <> 'recent_patch' THEN cut END) AS verified_cutoff, max(seen) AS last_at, count(*) AS n_records, max(CASE WHEN source_kind = 'recent_patch' THEN seen END) AS patch FROM c)
+SELECT verified_cutoff, last_at, n_records, coalesce(patch > verified_cutoff OR (patch IS NOT NULL AND verified_cutoff IS NULL), false) AS has_recent_patch FROM a"""
+_SQL["r_m16_coverage_ladder_instants"] = f"""WITH {_CUT} SELECT state, count(*) AS n FROM (SELECT CASE WHEN cut IS NULL THEN 'verified_cutoff_unknown' WHEN epoch_us(TIMESTAMP '2024-06-01') > cut THEN 'outside_verified_cutoff' ELSE 'within_verified_cutoff' END AS state FROM (SELECT conversation_id, max(CASE WHEN verified THEN cut END) AS cut FROM c GROUP BY 1)) GROUP BY 1"""
+_SQL["r_g14_first_mention"] = f"""WITH {_AT} SELECT min(utc_micros) AS first_micros, count(*) FILTER (WHERE utc_micros IS NULL) AS n_without FROM guijian_message g LEFT JOIN x ON x.src = 'guijian_message' AND x.row_id = g.message_key"""
+
+
+def _rules(column: str, rules: dict[str, str]) -> list[tuple[str, str]]:
+    """The rules for the other engine, whose word boundaries know ASCII letters only."""
+    edge = r"[^\p{L}\p{N}_]"
+    rules = {name: rule.replace(r"\b(", f"(?:^|{edge})(").replace(r")\b", f")(?:$|{edge})") for name, rule in rules.items()}
+    return [(name, f"regexp_matches({column}, '{rule.replace(chr(39), chr(39) * 2)}')") for name, rule in rules.items()]
+
+
+_SQL["r_m07_all_labels"] = "SELECT id, CASE WHEN len(l) = 0 THEN 'direct' ELSE array_to_string(l, ',') END AS label FROM (SELECT id, list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _rules("coalesce(content, '')", collections.LABELS)) + "], lambda x: x IS NOT NULL) AS l FROM records_v1)"
+_SQL["r_x13_all_exclusions"] = "SELECT id, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _rules("content", events.EXCLUSIONS)) + " END AS reason FROM records_v1 WHERE content IS NOT NULL"

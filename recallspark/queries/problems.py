@@ -59,8 +59,8 @@ SELECT n.tree AS conversation_id, n.node AS branch_id, coalesce(r.depth, -1)::in
 }
 
 
-def _instants_sql() -> str:
-    """p6_found in SQL. It shares the list of written forms with the operator; the civil time, offsets, zones and their policies are
+def instants_sql(every: bool = False) -> str:
+    """p6_found in SQL; every: values in the normal form too. It shares the list of written forms with the operator; the civil time, offsets, zones and their policies are
     worked out by the other engine."""
     forms = []
     for form in timestamps.FORMS:
@@ -69,7 +69,7 @@ def _instants_sql() -> str:
     return rf"""WITH s AS (SELECT source_kind, min(zone_name) AS zone, min(upper(date_order)) AS ord FROM source_profiles GROUP BY 1),
 v AS (SELECT 'records_v1' AS src, id AS row_id, 'created_at' AS field, created_at AS t, zone, ord FROM records_v1 LEFT JOIN s USING (source_kind) UNION ALL SELECT 'records_v1', id, 'source_cutoff_at', source_cutoff_at, zone, ord FROM records_v1 LEFT JOIN s USING (source_kind)
  UNION ALL SELECT 'guijian_message', message_key, 'created_at', created_at, room_zone, NULL FROM guijian_message),
-r AS (SELECT src, row_id, field, zone, ord AS given, regexp_replace(translate(t, '０１２３４５６７８９：／－．', '0123456789:/-.'), '^[\s\x{{3000}}\x{{a0}}]+|[\s\x{{3000}}\x{{a0}}]+$', '', 'g') AS raw FROM v WHERE t IS NOT NULL AND NOT regexp_matches(t, '{timestamps.NORMAL_FORM}')),
+r AS (SELECT src, row_id, field, zone, ord AS given, regexp_replace(translate(t, '０１２３４５６７８９：／－．', '0123456789:/-.'), '^[\s\x{{3000}}\x{{a0}}]+|[\s\x{{3000}}\x{{a0}}]+$', '', 'g') AS raw FROM v WHERE t IS NOT NULL{"" if every else f" AND NOT regexp_matches(t, '{timestamps.NORMAL_FORM}')"}),
 o AS (SELECT *, CASE WHEN given IN ('DMY', 'MDY') THEN given WHEN TRY_CAST(regexp_extract(raw, '^(\d{{1,2}})/\d{{1,2}}/\d{{4}}', 1) AS int) > 12 THEN 'DMY' WHEN TRY_CAST(regexp_extract(raw, '^\d{{1,2}}/(\d{{1,2}})/\d{{4}}', 1) AS int) > 12 THEN 'MDY' END AS ord FROM r),
 f AS (SELECT *, string_split(CASE {" ".join(forms)} END, '|') AS p FROM o),
 g AS (SELECT *, TRY_CAST(p[1] AS int) AS y, CASE WHEN regexp_full_match(p[2], '\d+') THEN TRY_CAST(p[2] AS int) WHEN strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substring(p[2], 1, 3))) % 3 = 1 THEN (strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substring(p[2], 1, 3))) + 2) // 3 END AS mo, TRY_CAST(p[3] AS int) AS d,
@@ -84,4 +84,4 @@ SELECT src, row_id, field, utc_micros::bigint AS utc_micros FROM e WHERE utc_mic
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {"p6_found": _instants_sql()}
+    return _SQL | {"p6_found": instants_sql()}
