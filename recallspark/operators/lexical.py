@@ -175,6 +175,9 @@ def cascade(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int =
 
 #: How many anchors a trace follows, how long they are, and how many candidates of a shared event are looked at.
 MAX_TRACE_ANCHORS, TRACE_CHARS, MAX_EVENT_CANDIDATES = 8, (8, 120), 200
+#: The two forms of quotation a trace follows, list marks, and blanks and quotes round an anchor.
+QUOTATIONS = (r"[“「『]([^”」』]{8,120})[”」』]", r'"([^"\r\n]{8,120})"')
+LIST_MARK, ROUND = r"^\s*(?:[-*•>]+|\d+[.)、])\s*", r"^[\s'\"“”「」『』]+|[\s'\"“”「」『』]+$"
 
 
 def trace_anchors(hits: DataFrame, text: str, most: int = MAX_TRACE_ANCHORS) -> list[str]:
@@ -186,9 +189,10 @@ def trace_anchors(hits: DataFrame, text: str, most: int = MAX_TRACE_ANCHORS) ->
     from recallspark.plans.planner import sample_evenly
 
     low, high = TRACE_CHARS
-    quoted = F.concat(F.regexp_extract_all(F.col(text), F.lit(rf"[“「『]([^”」』]{{{low},{high}}})[”」』]"), F.lit(1)), F.regexp_extract_all(F.col(text), F.lit(rf'"([^"\r\n]{{{low},{high}}})"'), F.lit(1)))
+    quoted = F.concat(*[F.regexp_extract_all(F.col(text), F.lit(form), F.lit(1)) for form in QUOTATIONS])
     lines = F.split(F.col(text), r"\r?\n")
-    tag = lambda parts, rank: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s*(?:[-*•>]+|\d+[.)、])\s*", ""), r"^[\s'\"“”「」『』]+|[\s'\"“”「」『』]+$", "")).alias("anchor")))
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, LIST_MARK, ""), ROUND, "")
+    tag = lambda parts, rank: F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), bare(p).alias("anchor")))
     each = hits.filter(F.col(text).isNotNull()).select(F.explode(F.concat(tag(quoted, 0), tag(lines, 1))).alias("x")).select("x.rank", F.regexp_replace("x.anchor", r"\s+", " ").alias("anchor"))
     lexical_chars = F.length(F.regexp_replace("anchor", r"[^\p{L}\p{N}]", ""))
     kept = each.filter(F.length("anchor").between(low, high) & (lexical_chars >= low) & ~F.col("anchor").rlike("[:：]$")).groupBy(F.lower("anchor").alias("folded")).agg(F.min("rank").alias("rank"), F.min("anchor").alias("anchor"))

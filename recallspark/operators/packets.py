@@ -23,6 +23,7 @@ PLAN = ("plan to", "will ", "wollen", "demain", "mañana", "打算", "计划", "
 COMPLETION = ("finished", "was counted", "were counted", "gezählt", "compté", "contado", "完成", "已经", "搬到")
 NOT_COMPLETED = ("not finished", "never", "nicht ", "jamais", "nunca", "没有", "还没")
 ATTRIBUTION = ("advised", "recommended", "empfohlen", "conseillé", "recomendado", "建议", "推荐")
+#: The names of the labels, in order.
 OCCURRENCE_LABELS = ("question_or_prompt", "retelling_or_recollection", "plan_or_candidate", "explicit_occurrence_or_completion", "choice_or_advice_evidence")
 
 

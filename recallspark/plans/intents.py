@@ -70,34 +70,86 @@ def topic_grams(segment: str) -> list[str]:
     return unique(out)
 
 
+#: Han words that these rules cut at: who is meant, how something is asked, and what is done.
+_WHO = ("我们", "你们", "他们", "我", "你", "他", "她", "它")
+_HOW = ("怎么", "怎样", "如何")
+_DOES = ("制作", "整理", "使用", "设置", "编写", "做", "写", "画")
+_STOPS = re.compile(r"[\s，,。！？!?；;：:]+")
+
+
+def _lose(text: str, starts: Sequence[str] = (), ends: Sequence[str] = ()) -> str:
+    """The text without the given beginnings and endings, as often as they come."""
+    while True:
+        cut = next((w for w in starts if text.startswith(w)), None)
+        if cut:
+            text = text[len(cut) :]
+            continue
+        cut = next((w for w in ends if text.endswith(w)), None)
+        if not cut:
+            return text
+        text = text[: -len(cut)]
+
+
 def scene(question: str) -> tuple[list[str], list[str], list[str]]:
-    """(anchors, bonus, priority) of a scene told as 'with X did something to someone', where X was described before: the
-    description and X must both be there, the action ranks."""
-    text = normalize(question)
-    for m in re.finditer(r"用([一-鿿]{2,8}?)把(?:我们|你们|他们|我|你|他|她|它)([一-鿿]{2,8}?)(?:了|呢|吗)?(?=[，,。！？!?；;]|$)", text):
-        thing, action = re.sub(r"^[这那一][条只根对个件]", "", m.group(1)), m.group(2)
-        for told in re.finditer(rf"([一-鿿]{{2,4}})的{re.escape(thing)}", text[: m.start()]):
-            word = re.sub(r"^.*(?:到了|到|看见|出现)", "", told.group(1))
-            if _subject(word) and word != thing:
-                return [word, thing], [c.group(1) for c in re.finditer(r"(?:我们|我和你|你和我)(?:在|正在)?([一-鿿]{2,8}?)的时候", text)], [action]
+    """(anchors, bonus, priority) of a scene told as 'with X did something to someone', where an earlier clause describes X: the
+    description and X must both be there, the action ranks, and so does what was going on meanwhile."""
+    clauses = _STOPS.split(normalize(question))
+    for k, clause in enumerate(clauses):
+        before, use, rest = clause.partition("用")
+        thing, take, action = rest.partition("把")
+        action = _lose(action, _WHO, ("了", "呢", "吗"))
+        if not (use and take) or not 2 <= len(thing) <= 8 or not 2 <= len(action) <= 8 or not _HAN.fullmatch(thing):
+            continue
+        for told in reversed([*clauses[:k], before]):
+            left, held, _ = told.partition("的" + thing)
+            word = re.split("到了|看到|到|有", left)[-1][-4:]
+            if held and _subject(word) and _HAN.fullmatch(word):
+                meanwhile = [_lose(c.split("的时候")[0], (*_WHO, "和", "正在", "在")) for c in clauses if "的时候" in c]
+                return [word, thing], [m for m in meanwhile if 2 <= len(m) <= 8], [action]
     return [], [], []
 
 
+def _asked_how(question: str, done: Sequence[str]) -> str | None:
+    """The Han subject of a question for how: what stands before the word for how, else what follows the action."""
+    for clause in _STOPS.split(normalize(question)):
+        for how in _HOW:
+            left, found, right = clause.partition(how)
+            verb = next((v for v in done if found and right.startswith(v)), None)
+            if verb:
+                side = _lose(left, (*_WHO, "以前", "之前"), ("应该", "应当", "是", "要", "该")) or _lose(right[len(verb) :], (), ("呢", "吗", "的"))
+                return _subject(side) if _HAN.search(side) else None
+    return None
+
+
 def preference_subject(question: str) -> str | None:
+    """What a question for a preference is about: the word after the marker, without question words."""
     if not has_any(question, PREFERENCE_WORDS):
         return None
-    return _first(normalize(question), rf"(?:favou?rite|lieblings)[- ]?({_NAME})", rf"(?:prefer|préfèr\w+|prefier\w+)\s+(?:which |what |welche[nrs]? )?({_NAME})", r"(?:最喜欢|最爱|偏爱|更喜欢)(?:的)?(?:哪一种|哪一款|哪种|哪款|什么)?([一-鿿\w-]{2,16}?)(?:是什么|是哪|[，,。！？!?；;：:]|$)")
+    found = _first(normalize(question), rf"(?:favou?rite|lieblings)[- ]?({_NAME})", rf"(?:prefer|préfèr\w+|prefier\w+)\s+(?:which |what |welche[nrs]? )?({_NAME})")
+    for marker in (w for w in PREFERENCE_WORDS if _HAN.search(w)):
+        _, held, rest = normalize(question).partition(marker)
+        if held and not found:
+            found = _subject(_lose(_STOPS.split(rest)[0].split("是")[0], ("的", "哪一种", "哪一款", "哪种", "哪款", "哪个", "什么"), ("吗", "呢", "的", "哪个", "什么")))
+    return found
 
 
 def arrival_subject(question: str) -> str | None:
     """Whom or what a question about an arrival names; None where it names nobody."""
-    return _first(normalize(question), rf"how did ({_NAME}) (?:come|get) to (?:me|us|you)", rf"wie kam ({_NAME}) zu", rf"comment ({_NAME}) est(?:-il|-elle)? arrivée?", rf"cómo llegó ({_NAME})", r"([一-鿿\w-]{2,16}?)(?:是)?(?:怎么|怎样|如何)来到(?:我|你|我们)")
+    found = _first(normalize(question), rf"how did ({_NAME}) (?:come|get) to (?:me|us|you)", rf"wie kam ({_NAME}) zu", rf"comment ({_NAME}) est(?:-il|-elle)? arrivée?", rf"cómo llegó ({_NAME})")
+    return found or _asked_how(question, ("会来到", "来到"))
 
 
 def procedure_subject(question: str) -> tuple[str | None, list[str]]:
     """The thing a how-to question is about, and phrases that tie it to rules, which count most."""
     text = normalize(question)
-    found = _first(text, rf"how (?:to|do (?:i|we|you)) (?:make|use|set up|write|format) (?:the |a |an )?({_NAME})", rf"wie (?:macht|schreibt|benutzt) man (?:die |das |den )?({_NAME})", rf"comment (?:faire|utiliser|écrire) (?:le |la |les |l')?({_NAME})", rf"cómo (?:se hace|hacer|usar|escribir) (?:el |la )?({_NAME})", r"(?:怎么|如何|怎样)(?:做|制作|整理|使用|设置|写|画)([一-鿿\w-]{2,20}?)(?:[，,。！？!?；;：:]|$)", r"([一-鿿\w-]{2,20}?)(?:应该)?(?:怎么|如何|怎样)(?:做|制作|整理|使用|设置|写|画)", r"([一-鿿\w-]{2,20}?)(?:的|有哪些|有什么)(?:规则|步骤|格式|做法|要求)")
+    found = _first(text, rf"how (?:to|do (?:i|we|you)) (?:make|use|set up|write|format) (?:the |a |an )?({_NAME})", rf"wie (?:macht|schreibt|benutzt) man (?:die |das |den )?({_NAME})", rf"comment (?:faire|utiliser|écrire) (?:le |la |les |l')?({_NAME})", rf"cómo (?:se hace|hacer|usar|escribir) (?:el |la )?({_NAME})")
+    found = found or _asked_how(text, _DOES)
+    if found is None:
+        for word in (w for w in PROCEDURE_WORDS if _HAN.search(w)):
+            left, held, _ = text.partition(word)
+            if held and _HAN.search(left) and len(text) - len(left) - len(word) <= 2:
+                found = _subject(_lose(_STOPS.split(left)[-1], (*_WHO, "关于", "以前"), ("的", "有什么", "有哪些", "制作", "使用")))
+                break
     if found is None:
         return None, []
     joint = "的" if _HAN.search(found) else " "
@@ -220,6 +272,7 @@ def retelling_query(question: str, scope: Scope | None) -> str | None:
 
 def coverage_guard(question: str, latest: date | None) -> dict:
     """Whether a date stated in the question lies after everything imported; then older rows that share words are no evidence."""
+    # The names of the states.
     asked = absolute_date(normalize(question))
     outside = asked is not None and latest is not None and asked > latest
     status = "no_explicit_date" if asked is None else "outside_imported_coverage" if outside else "not_proven_outside_imported_coverage"
