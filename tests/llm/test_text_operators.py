@@ -170,6 +170,17 @@ def test_paths_against_brute_force(spark, monkeypatch):
     assert conversations.assemble(m, r.drop("branch_id")).select("conversation_id", "branch_id").distinct().count() == len(got)
 
 
+def test_paths_to_drop_are_the_cases(spark, tmp_path):
+    """p7_found gives the broken, empty and unanswered paths, p7_kept all others."""
+    records = [(1, "c", "user", "x"), (2, "c", "assistant", "x"), (3, "c", "user", " "), (4, "c", "user", "x"), (5, "d", "tool", "x")]
+    paths = {"good": [(1, 0), (2, 1)], "unplaced": [(1, None), (2, None)], "gap": [(1, 0), (2, 2)], "partly": [(1, 0), (2, None)], "empty": [(3, 0)], "unanswered": [(1, 0), (2, 1), (4, 2)], "users_only": [(4, 0)], "tool": [(5, 0)]}
+    spark.createDataFrame([(r, b, p) for b, rows in paths.items() for r, p in rows], "record_rowid long, branch_id string, position int").write.parquet(f"{tmp_path}/records_v1_branch_memberships.parquet")
+    spark.createDataFrame(records, "id long, conversation_id string, role string, content string").write.parquet(f"{tmp_path}/records_v1.parquet")
+    branches = lambda q: {r.branch_id for r in q(spark, str(tmp_path)).collect()}
+    assert branches(queries.p7_kept) == {"good", "unplaced"}
+    assert branches(queries.p7_found) == branches(queries.p7_dropped) == set(paths) - {"good", "unplaced"}
+
+
 def test_disentangle(spark):
     rows = [(1, "c", 0, "ann", "where is the glass ledger"), (2, "c", 10, "bob", "what about lunch"), (3, "c", 20, "cid", "@ann the glass ledger is in the tower"), (4, "c", 25, "dan", "lunch at noon"), (5, "c", 9000, "eve", "hello"), (6, None, None, None, None)]
     df = spark.createDataFrame(rows, "id long, ch string, s long, who string, text string").withColumn("at", F.timestamp_seconds("s"))
