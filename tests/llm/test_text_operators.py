@@ -297,6 +297,18 @@ def test_reply_links_have_two_speakers(spark, tmp_path):
     assert got == {(1, "user_msg"): (None, None, 0.0), (1, "ai_reply"): (1, "user_msg", 1.833333), (2, "user_msg"): (1, "ai_reply", 1.5), (3, "user_msg"): (None, None, 0.0), (3, "ai_reply"): (3, "user_msg", 1.5)}
 
 
+def test_reply_links_have_no_horizon(spark, tmp_path):
+    """Messages that share only some words are linked however far apart, as by plain Python over the whole channel."""
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.sample("glass ledger tower lunch noon bridge easel pier drawer willow".split(), rng.randrange(1, 6)))
+    log = [(i, 20_000 * i + rng.randrange(9_000), text(), text() if rng.random() < 0.7 else None, f"agt{i % 2}") for i in range(1, 80)] + [(99, 4_000_000, "@agt1 " + " ".join(f"w{i}" for i in range(70)) + " glass", None, "agt1")]
+    spark.createDataFrame(log, "id long, s long, user_msg string, ai_reply string, agent_id string").withColumn("logged_at", F.timestamp_seconds("s")).write.parquet(f"{tmp_path}/interaction_log.parquet")
+    rows = [x for i, s, u, r, a in log for x in ((2 * i, s, a, "user", u), (2 * i + 1, s, a, a, r)) if x[4] is not None]
+    want = _links(rows)
+    got = {2 * r.id + (r.part == "ai_reply"): (None if r.parent_id is None else 2 * r.parent_id + (r.parent_part == "ai_reply"), r.score) for r in queries.p7_reply_links(spark, str(tmp_path)).collect()}
+    assert got == want and sum(p is not None and rows[[x[0] for x in rows].index(k)][1] - rows[[x[0] for x in rows].index(p)][1] > 14_400 for k, (p, _) in want.items()) > 30
+
+
 def test_packing(spark):
     rng = random.Random(1)
     items = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 5, 40, 300, 900, 2048, 5000])) for i in range(700)]
