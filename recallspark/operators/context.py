@@ -90,12 +90,17 @@ def event_windows(rows: DataFrame, anchor: Column, participation: Column, exclud
 
     rows: record_rowid, branch_id, position and what the three conditions read. An event row has an anchor term and a sign
     of participation and no reason of exclusion. The representative is the earliest event row by position, then id.
+
+    A window is made of its positions, of which each is counted once: where a branch has many rows at one position, hits and
+    rows aren't paired. Hits of one position share their window.
     """
-    judged = rows.select("record_rowid", "branch_id", "position", F.coalesce(anchor, F.lit(False)).alias("anchor"), (F.coalesce(anchor & participation, F.lit(False)) & ~F.coalesce(excluded, F.lit(False))).alias("event"))
-    near = window_join(judged.filter("anchor"), judged, before, after, own=True)
-    flags = judged.select(F.col("record_rowid").alias("near"), "branch_id", F.col("position").alias("near_position"), "event")
-    each = near.join(flags, ["near", "branch_id", "near_position"]).groupBy("branch_id", "hit", "position").agg(F.count("*").alias("n_rows"), F.sum(F.col("event").cast("bigint")).alias("n_event_rows"), F.min(F.when(F.col("event"), F.struct("near_position", "near"))).alias("first"))
-    return each.filter(F.col("n_event_rows") > 0).select("branch_id", "hit", "position", "n_rows", "n_event_rows", F.col("first.near").alias("first_event"))
+    judged = rows.filter(F.col("position").isNotNull()).select("record_rowid", "branch_id", "position", F.coalesce(anchor, F.lit(False)).alias("anchor"), (F.coalesce(anchor & participation, F.lit(False)) & ~F.coalesce(excluded, F.lit(False))).alias("event"))
+    places = judged.groupBy("branch_id", F.col("position").cast("bigint").alias("place")).agg(F.count("*").alias("n"), F.sum(F.col("event").cast("bigint")).alias("events"), F.min(F.when(F.col("event"), F.struct("position", F.col("record_rowid").alias("near")))).alias("first"))
+    hits = judged.filter("anchor").select("branch_id", F.col("record_rowid").alias("hit"), "position").distinct()
+    wanted = hits.select("branch_id", "position").distinct()
+    around = wanted.withColumn("place", F.explode(F.sequence(F.col("position").cast("bigint") - before, F.col("position").cast("bigint") + after)))
+    windows = around.join(places, ["branch_id", "place"]).groupBy("branch_id", "position").agg(F.sum("n").alias("n_rows"), F.sum("events").alias("n_event_rows"), F.min("first").alias("first")).filter(F.col("n_event_rows") > 0)
+    return hits.join(windows, ["branch_id", "position"]).select("branch_id", "hit", "position", "n_rows", "n_event_rows", F.col("first.near").alias("first_event"))
 
 
 def capped(near: DataFrame, cap: int, per: tuple[str, ...] = ("branch_id", "position", "hit")) -> DataFrame:

@@ -111,3 +111,20 @@ def test_nearest_in_blocks(spark):
         if i % 20 == 0:
             want = sorted(((-cos(e, f), j) for j, f in good))[:5]
             assert [(k, j) for k, j, _ in sorted(got[i])] == [(n + 1, j) for n, (_, j) in enumerate(want)]
+
+
+def test_event_windows_with_many_rows_at_one_position(spark):
+    """By plain Python; positions below 0 and positions that hold many rows, where hits and rows mustn't be paired."""
+    rng = random.Random(9)
+    rows = sorted({(i, rng.choice(["a", "b", None]), rng.choice([None, -3, -1, 0, 0, 0, 5, 63, 64, 70]), rng.random() < 0.4, rng.random() < 0.3) for i in range(400)}, key=lambda r: r[0])
+    want = set()
+    for hit, branch, at, anchor, _ in rows:
+        near = [(p, i, anchor_ and said) for i, b, p, anchor_, said in rows if branch is not None and b == branch and at is not None and p is not None and at - 6 <= p <= at + 4]
+        if anchor and any(x[2] for x in near):
+            want.add((branch, hit, at, len(near), sum(x[2] for x in near), min(x[:2] for x in near if x[2])[1]))
+    df = spark.createDataFrame(rows, "record_rowid long, branch_id string, position int, anchored boolean, said boolean")
+    got = context.event_windows(df, F.col("anchored"), F.col("said"), F.lit(False))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    hot = spark.range(60_000).select(F.col("id").alias("record_rowid"), F.lit("a").alias("branch_id"), F.lit(0).alias("position"))
+    many = context.event_windows(hot, F.lit(True), F.col("record_rowid") == 7, F.lit(False))
+    assert [tuple(r) for r in many.groupBy("n_rows", "n_event_rows", "first_event").count().collect()] == [(60_000, 1, 7, 60_000)]
