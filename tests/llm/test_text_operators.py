@@ -73,6 +73,22 @@ def test_history_against_brute_force(spark, steps, tmp_path):
     assert got == _brute_history(rows)
 
 
+def test_history_with_hot_fingerprints(spark, monkeypatch):
+    """Texts that share frequent phrases in many orders, met by pairs of fingerprints and by wide ones, as by brute force."""
+    monkeypatch.setattr(history, "HOT", 4)
+    monkeypatch.setattr(history, "WIDE", 3)
+    rng = random.Random(8)
+    phrases = ["in the old tower", "by the salt gate", "near lane seven", "at the lower dock", "was kept", "was lost again", "a b c"]
+    rows = [(i, f"r{i}", " ".join([*rng.sample(phrases, rng.randrange(1, 6)), *([f"n{i}"] * rng.randrange(2))])) for i in range(260)]
+    df = spark.createDataFrame([(*r, r[0] // 65) for r in rows], "id long, record_id string, content string, imported_at int")
+    kinds = []
+    meet = history.Store._meet
+    monkeypatch.setattr(history.Store, "_meet", lambda self, x, y, apart, wide: kinds.append({r.kind for r in x.select("kind").distinct().collect()}) or meet(self, x, y, apart, wide))
+    got = {r.dup_id: r.kept_id for r in history.found(df, steps=2).collect()}
+    assert got == _brute_history(rows) and len(got) > 20
+    assert set.union(*kinds) == {0, 1, 2, 3}
+
+
 def test_history_survives_a_broken_step(spark, tmp_path):
     """A store opened again knows what was accepted; what a step left that didn't end is overwritten."""
     text = "one two three four five six seven"
