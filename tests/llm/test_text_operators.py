@@ -89,6 +89,27 @@ def test_history_with_hot_fingerprints(spark, monkeypatch):
     assert set.union(*kinds) == {0, 1, 2, 3}
 
 
+def test_history_shuffles_fingerprints_once(spark, monkeypatch):
+    """The joins of selected fingerprints take the exchange by key as it is; a second one would double the disk."""
+    plans, meet = [], history.Store._meet
+
+    def seen(self, x, y, apart, wide):
+        met = meet(self, x, y, apart, wide)
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        return met
+
+    monkeypatch.setattr(history.Store, "_meet", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, f"r{i}", f"one two three four five six seven n{i}", i // 4) for i in range(8)], "id long, record_id string, content string, imported_at int")
+        assert history.found(df, steps=2).count() == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 3
+    assert all(p.count("Exchange hashpartitioning(key") == p.count("REPARTITION_BY_NUM") == 2 for p in plans), plans[0]
+
+
 def test_history_survives_a_broken_step(spark, tmp_path):
     """A store opened again knows what was accepted; what a step left that didn't end is overwritten."""
     text = "one two three four five six seven"
