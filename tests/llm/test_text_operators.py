@@ -110,6 +110,20 @@ def test_history_shuffles_fingerprints_once(spark, monkeypatch):
     assert all(p.count("Exchange hashpartitioning(key") == p.count("REPARTITION_BY_NUM") == 2 for p in plans), plans[0]
 
 
+def test_history_in_passes(spark, monkeypatch):
+    """Fingerprints shuffled in passes give the rows of brute force, and no pass has much more than its share."""
+    for name, value in (("HOT", 4), ("WIDE", 3), ("PASS_ROWS", 0), ("PASS_LEAST", 600)):
+        monkeypatch.setattr(history, name, value)
+    rng = random.Random(9)
+    phrases = ["in the old tower", "by the salt gate", "near lane seven", "at the lower dock", "was kept", "was lost again"]
+    rows = [(i, f"r{i}", " ".join([*rng.sample(phrases, rng.randrange(1, 6)), *([f"n{i}"] * rng.randrange(2))])) for i in range(120)]
+    df = spark.createDataFrame([(*r, r[0] // 60) for r in rows], "id long, record_id string, content string, imported_at int")
+    sizes, meet = [], history.Store._meet
+    monkeypatch.setattr(history.Store, "_meet", lambda self, x, y, apart, wide: sizes.append(x.count()) or meet(self, x, y, apart, wide))
+    assert {r.dup_id: r.kept_id for r in history.found(df, steps=2).collect()} == _brute_history(rows)
+    assert len(sizes) > 3 and max(sizes) < 1200, sizes
+
+
 def test_history_survives_a_broken_step(spark, tmp_path):
     """A store opened again knows what was accepted; what a step left that didn't end is overwritten."""
     text = "one two three four five six seven"
